@@ -44,8 +44,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def crc_of(ids: Iterable[int]) -> np.ndarray:
-    """crc32 of each id written as text."""
-    return np.fromiter((zlib.crc32(str(i).encode()) for i in ids), np.int64)
+    """crc32 of each id written as text; a null id counts as empty text."""
+    return np.fromiter((zlib.crc32(b"" if i is None else str(i).encode()) for i in ids), np.int64)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
