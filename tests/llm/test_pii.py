@@ -1,0 +1,107 @@
+import hashlib
+import re
+from random import Random
+
+import pytest
+from spanloom.llm import pii
+
+
+def brute(s):
+    def luhn(d):
+        t = 0
+        for k, c in enumerate(d[::-1]):
+            x = int(c) * (2 if k % 2 else 1)
+            t += x - 9 if x > 9 else x
+        return t % 10 == 0
+
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", s)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", s) if all(int(x) <= 255 for x in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", s):
+        d = re.sub("[^0-9]", "", m.group())
+        if 16 <= len(d) <= 19 and luhn(d):
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", s) if 8 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return out
+
+
+def test_rules_against_brute_force():
+    r = Random(4)
+    for _ in range(4000):
+        s = "".join(r.choices("ab@.-+ ()0129é\n", k=r.randint(0, 60)))
+        assert pii.base_spans(s) == brute(s), s
+    for _ in range(300):
+        s, _ = pii.labelled(r, 200)
+        assert pii.base_spans(s) == brute(s), s
+    for s in ("a@b.c@d.e", "@b.c@d.e", "1.2.3.4.5.6.7.8", "000255.1.2.3", "4111 1111 1111 1111 ", "4111-1111 11111111", "+1 (743) 555-3824", "x" * 50, "+1" * 5, "9" * 5000 + ".1.1.1"):
+        if "9" * 4301 not in s:
+            assert pii.base_spans(s) == brute(s)
+        else:
+            assert pii.base_spans(s) == []
+
+
+def test_gradient():
+    import numpy as np
+
+    m = pii.Tagger(dim=3, hidden=2)
+    for k in m.p:
+        m.p[k] = m.p[k].astype(np.float64)
+    rng = np.random.default_rng(0)
+    ids = rng.integers(0, pii.N_CHARS, (6, 3))
+    tags = np.zeros((6, 3), int)
+    tags[2] = 1
+    _, g = m.loss(ids, tags)
+    for k in ("Hf", "Xb", "T", "W", "E"):
+        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        old = m.p[k][at]
+        m.p[k][at] = old + 1e-3
+        up = m.loss(ids, tags)[0]
+        m.p[k][at] = old - 1e-3
+        down = m.loss(ids, tags)[0]
+        m.p[k][at] = old
+        assert abs((up - down) / 2e-3 - g[k][at]) < 0.02 * max(0.05, abs(g[k][at]))
+
+
+@pytest.fixture(scope="module")
+def model():
+    return pii.train()
+
+
+def test_held_out_spans(model):
+    r = Random(77)
+    gold, texts = [], []
+    for _ in range(150):
+        s, spans = pii.labelled(r, 300)
+        texts.append(s)
+        gold.append({x for x in spans if x[0] != "card"})
+    found = [{x for x in f if x[0] != "card"} for f in pii.added_spans(model, texts, [[] for _ in texts])]
+    hit = sum(len(a & b) for a, b in zip(gold, found))
+    assert hit > 0.85 * sum(map(len, gold)) and hit > 0.9 * sum(map(len, found))
+
+
+def test_windows_cover_every_mark():
+    s = "word " * 30 + "12 " * 200 + "word " * 50 + "a@b.c"
+    w = pii.windows_of(s)
+    for m in re.finditer("[0-9@]", s):
+        assert any(a <= m.start() < b for a, b, _, _ in w)
+    assert all(b - a <= pii.WINDOW for a, b, _, _ in w)
+
+
+def test_reconcile_is_global():
+    c = {("ip", 0, 10), ("ip", 8, 14), ("ip", 12, 30), ("phone", 5, 40)}
+    assert pii.reconcile(c, []) == [("phone", 5, 40)]
+    assert pii.reconcile(c, [("email", 31, 33)]) == [("ip", 0, 10), ("ip", 12, 30)]
+
+
+def test_frame(spark, model):
+    long = "x" * 200_000 + " +1 (743) 555-3824 " + "1" * 100_000
+    rows = [(1, None), (2, ""), (3, "mail a.b@c.de é a@b.c"), (3, "mail a.b@c.de é a@b.c"), (4, "plain words only"), (5, long), (None, "10.0.0.1")]
+    df = spark.createDataFrame([(i, t, 9) for i, t in rows], "doc_id long, text string, n_email long")
+    got = pii.find(df).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    empty = hashlib.sha256(b"").hexdigest()
+    assert by[1].base_sha256 == by[2].base_sha256 == by[4].base_sha256 == empty and by[4].spans == ""
+    assert by[3].spans.startswith("email:5:13,email:16:21") and by[3].n_email == 2
+    assert by[3].base_sha256 == hashlib.sha256(b"email:5:13,email:16:21").hexdigest()
+    assert by[5].n_phone == 1 and by[None].n_ip == 1
+    assert pii.find(df.limit(0)).count() == 0
