@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import logbilinear, pii, simhash
+from . import langid, logbilinear, pii, simhash
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
 def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logbilinear.score(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_langid": op2_langid,
     "op6_log_bilinear": op6_log_bilinear,
     "op8_simhash": op8_simhash,
     "op10_pii": op10_pii,
