@@ -44,7 +44,7 @@ from .common import crc_of, cut, ids_of, small_batches, texts_of
 
 N_WORDS = 768
 N_TAILS = 256
-N_FREQUENT = 1 << 18
+N_FREQUENT = 1 << 16
 N_TRIPLES = 1_000_000
 DIM = 24
 END = b"\n"
@@ -229,12 +229,25 @@ def normalised(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {"g1": g1.astype(np.float32), "g2": g2.astype(np.float32), "log_z": log_z.astype(np.float32)}
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words whose counts are in the highest bands that hold at most ``most`` words; no sort is needed."""
+    band = F.floor(F.log2(F.col("c")) * 16).cast("int")
+    sizes = counts.groupBy(band.alias("band")).count().orderBy(F.desc("band")).collect()
+    total, least = 0, 1 << 30
+    for r in sizes:
+        total += r["count"]
+        if total > most:
+            break
+        least = r.band
+    return counts.where(band >= least)
+
+
 def fit(docs: DataFrame) -> tuple[DataFrame, dict]:
     """Counts of all training tokens and the model that scoring needs."""
     counts = cut(count_tokens(docs))
     whole = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(whole.n or 0), int(whole.v)
-    top = counts.orderBy(F.desc("c"), "h").limit(N_FREQUENT).toPandas()
+    top = most_frequent(counts, N_FREQUENT).toPandas().sort_values(["c", "h"], ascending=[False, True])
     end_hash = word_hash(END)
     words = top["h"].to_numpy(np.int64)[:N_WORDS]
     if end_hash not in words:
