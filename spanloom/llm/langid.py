@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_of, ids_of, small_batches
 
@@ -200,5 +201,5 @@ def predict(docs: DataFrame, model: Model | None = None, keep: bool = False) ->
 
     if keep:
         docs = docs.drop("lang_pred", "score")
-        return docs.mapInArrow(run, docs.schema.add("lang_pred", "string").add("score", "double"))
+        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
