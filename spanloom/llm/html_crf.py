@@ -161,7 +161,7 @@ NAMES = {
     "body": "article content post entry story main body text prose markdown page".split(),
 }
 GROUP = {w: g for g, words in NAMES.items() for w in words}
-INDEX: dict[str, int] = {}
+NOISE = frozenset([f"group:{g}" for g in NAMES if g != "body"] + [f"in:{t}" for t in "nav aside footer form button label menu".split()] + ["hidden"])
 
 
 def path_features(path: tuple) -> list[str]:
@@ -184,6 +184,8 @@ def path_features(path: tuple) -> list[str]:
             out.add("inner header")
     elif "header" in tags:
         out.add("outer header")
+    noise = bool(out & NOISE) or "header" in tags and "inner header" not in out
+    out.add(f"noise:{noise} inside:{'inside' in out} body:{'group:body' in out}")
     return sorted(out)
 
 
@@ -320,7 +322,7 @@ class Chain:
 
 
 @lru_cache(maxsize=2)
-def train(pages: int = 500, rounds: int = 250, seed: int = 8) -> Chain:
+def train(pages: int = 1000, rounds: int = 250, seed: int = 8) -> Chain:
     """Maximum likelihood with a small Gaussian prior, by Adam over all generated pages."""
     r = Random(seed)
     docs = [blocks_of(labelled_page(r)) for _ in range(pages)]
@@ -359,7 +361,7 @@ def train(pages: int = 500, rounds: int = 250, seed: int = 8) -> Chain:
                 pair = np.exp(alpha[:, :-1, a] + trans[a, b] + e[:, 1:, b] + beta[:, 1:, b] - z[:, None])
                 g[1][a, b] = ((both[:, :-1, a] * both[:, 1:, b] - pair) * live[:, 1:]).sum() / pages
         for k, q in enumerate(params):
-            d = g[k] - 2e-4 * q
+            d = g[k] - 5e-5 * q
             m[k] = 0.9 * m[k] + 0.1 * d
             v[k] = 0.99 * v[k] + 0.01 * d**2
             q += 0.1 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
