@@ -69,3 +69,32 @@ def by_size(items: Iterable[tuple], size_of, limit: int = CHUNK_BYTES) -> Iterat
             held, total = [], 0
     if held:
         yield held
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared checkpoint folder and read it back.
+
+    The files stay while the session lives, so that a lost executor's work can be read
+    again, and are removed when the driver's Python ends.
+    """
+    import atexit
+    import uuid
+
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="spanloom-")
+        atexit.register(shutil.rmtree, shared, True)
+    path = f"{shared.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def drop() -> None:
+        try:
+            jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        except Exception:  # the session has ended
+            pass
+
+    atexit.register(drop)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_crf, langid, logbilinear, pii, simhash
+from . import html_crf, langid, logbilinear, media, pii, simhash
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(table(spark, sf_dir, "documents"))
+
+
 def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logbilinear.score(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_crf": op1_html_crf,
     "op2_langid": op2_langid,
+    "op4_media": op4_media,
     "op6_log_bilinear": op6_log_bilinear,
     "op8_simhash": op8_simhash,
     "op10_pii": op10_pii,
