@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_crf, langid, logbilinear, media, pii, simhash
+from . import html_crf, langid, linededup, logbilinear, media, mixing, pii, simhash
 from .common import table
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logbilinear.score(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.weigh(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
     "op4_media": op4_media,
     "op6_log_bilinear": op6_log_bilinear,
+    "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
+    "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
 }
 
