@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_crf, langid, linededup, logbilinear, media, mixing, pii, simhash
+from . import decontaminate, html_crf, langid, licenses, linededup, logbilinear, media, mixing, pii, simhash
 from .common import table
 
 
@@ -26,10 +26,18 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logbilinear.score(table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_crf": op1_html_crf,
     "op2_langid": op2_langid,
+    "op3_licenses": op3_licenses,
     "op4_media": op4_media,
+    "op5_decontaminate": op5_decontaminate,
     "op6_log_bilinear": op6_log_bilinear,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
@@ -53,4 +63,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.oracle()}
