@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_of, shared_table, small_batches, texts_of
+from .common import cut, ids_of, shared_table, small_batches, texts_of
 
 ROW = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -222,6 +222,8 @@ def figure_pages(docs: DataFrame) -> DataFrame:
 
 def document_media(docs: DataFrame) -> DataFrame:
     """Media columns of every document."""
-    media = read_back(store(docs))
+    # Cut here so that the join deals both sides anew: a medium that very many documents
+    # show is then a skewed key that Spark can split.
+    media = cut(read_back(store(docs)))
     out = resolve(sequences(figure_pages(docs), "doc_id"), media, "doc_id")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.col("pos").alias("position"), "caption")
