@@ -169,7 +169,7 @@ def sample_triples(docs: DataFrame, hashes: np.ndarray, frequent_class: np.ndarr
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64())], ["t"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "t long").toPandas()["t"].to_numpy(np.int64)
+    rows = docs.select("doc_id", "text").mapInArrow(run, "t long").toArrow().column("t").to_numpy().astype(np.int64)
     rows.sort()
     return np.stack([rows >> 40, rows >> 20 & 0xFFFFF, rows & 0xFFFFF], axis=1)
 
@@ -247,7 +247,7 @@ def fit(docs: DataFrame) -> tuple[DataFrame, dict]:
     counts = cut(count_tokens(docs))
     whole = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(whole.n or 0), int(whole.v)
-    top = most_frequent(counts, N_FREQUENT).toPandas().sort_values(["c", "h"], ascending=[False, True])
+    top = most_frequent(counts, N_FREQUENT).toArrow().to_pandas().sort_values(["c", "h"], ascending=[False, True])
     end_hash = word_hash(END)
     words = top["h"].to_numpy(np.int64)[:N_WORDS]
     if end_hash not in words:
