@@ -11,16 +11,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom import ship
+
 #: Bytes of UTF-8 text that a Python worker holds as words or arrays at once.
 CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound an Arrow batch by rows, so that long texts don't fill a worker."""
+    """Bound an Arrow batch by rows, so that long texts don't fill a worker; workers get the package."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 

@@ -177,7 +177,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     share = sample / len(counts)
     dice = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1_000_000)) / F.lit(1e6)
     limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, share / n))])
-    some = rows.where(dice < F.coalesce(F.try_element_at(limit, F.col("lang")), F.lit(0.0))).toPandas()
+    some = rows.where(dice < F.coalesce(F.try_element_at(limit, F.col("lang")), F.lit(0.0))).toArrow().to_pandas()
     some = some.sort_values(["doc_id", "lang", "text"]).reset_index(drop=True)
     return Model(some["text"].tolist(), some["lang"].tolist())
 

@@ -207,7 +207,7 @@ def probes(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
 def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """(a, b): links between distinct fingerprints, enough to connect every component."""
     n = fps.count()
-    few = fps.orderBy(F.xxhash64("fp")).limit(sample).toPandas()["fp"].to_numpy(np.int64)
+    few = fps.orderBy(F.xxhash64("fp")).limit(sample).toArrow().column("fp").to_numpy().astype(np.int64)
     if not len(few):
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     plan = plan_index(few.view(np.uint64), n, max_bits)
