@@ -107,6 +107,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     seqs = cut(docs.select(order.alias("o"), rid.alias("rid"), hashes.alias("hs"), counts.alias("ws")).dropDuplicates(["rid"]))
     lines = seqs.select("rid", "o", F.explode(F.array_distinct("hs")).alias("h")).where("h <> 0")
     first = lines.groupBy("h").agg(F.min("o").alias("first"), F.count("*").alias("df")).where("df > 1").select("h", F.col("first.rid").alias("owner"))
+    first = cut(first)  # so the join deals both sides anew and Spark can split a very common line
     pairs = lines.join(first, "h").where("rid <> owner").select("rid", "owner").distinct()
     later = pairs.join(seqs.select("rid", "hs", "ws"), "rid")
     both = later.join(seqs.select(F.col("rid").alias("owner"), F.col("hs").alias("ohs")), "owner").select("rid", "hs", "ws", "ohs")
