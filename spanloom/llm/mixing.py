@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ids_of, small_batches, texts_of
+from .common import cut, ids_of, small_batches, texts_of
 
 RATE = 0.8
 POWER = 0.7
@@ -150,7 +150,7 @@ class Plan:
 
 
 def plan(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE) -> Plan:
-    return Plan([tuple(r)[:4] for r in bounded(cells_of(docs)).collect()], targets, rate)
+    return Plan([tuple(r)[:4] for r in bounded(cut(cells_of(docs))).collect()], targets, rate)
 
 
 def bounded(cells: DataFrame) -> DataFrame:
