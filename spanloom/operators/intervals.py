@@ -155,12 +155,11 @@ def containment(inner: DataFrame, outer: DataFrame, keys: list[str], tolerance:
     return hits.where("whole or (st < w_en and w_st < en)").drop("o_st", "o_en")
 
 
-def points_in(points: DataFrame, at: str, spans: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
-    """Every point with the interval that holds it (st <= x < en), by the interval columns ``carry``; none: null."""
-    one = points.withColumn("_p", F.monotonically_increasing_id())
-    probe = one.select(*keys, "_p", F.col(at).alias("st"), (F.col(at) + 1).alias("en"))
-    hits = overlap_join(probe, spans, keys, carry=carry).select("_p", *carry)
-    return one.join(hits, "_p", "left").drop("_p")
+def points_in(points: DataFrame, at: str, ident: list[str], spans: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
+    """Every point, known by ``ident`` within its keys, with the intervals that hold it (st <= x < en) by their columns ``carry``; none: null."""
+    probe = points.select(*keys, *ident, F.col(at).alias("st"), (F.col(at) + 1).alias("en"))
+    hits = overlap_join(probe, spans, keys, carry=carry).select(*keys, *ident, *carry)
+    return points.join(hits, [*keys, *ident], "left")
 
 
 def nearest(points: DataFrame, targets: DataFrame, keys: list[str], at: str, to: str, ident: str) -> DataFrame:

@@ -19,7 +19,7 @@ def micros(ts: str) -> Column:
     """Microseconds since 1970 of a zoneless timestamp, whatever the session's time zone."""
     days = F.datediff(F.to_date(ts), F.lit("1970-01-01")).cast("long")
     second = (F.expr(f"extract(SECOND FROM {ts})") * SECOND).cast("long")
-    return days * (24 * HOUR) + F.hour(ts) * F.lit(HOUR) + F.minute(ts) * F.lit(MINUTE) + second
+    return days * (24 * HOUR) + F.hour(ts).cast("long") * HOUR + F.minute(ts).cast("long") * MINUTE + second
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
