@@ -9,6 +9,7 @@ from spanloom.operators import allocate as A
 from spanloom.operators import frames as R
 from spanloom.operators import intervals as I
 from spanloom.plans import boundary as B
+from spanloom.plans import enrich as N
 from spanloom.plans.catalog import query
 from spanloom.plans.q_intervals import K, subtract_sql, union_sql
 from spanloom.sources import readers, sinks
@@ -197,3 +198,64 @@ def media_probe(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit('{"format":{"duration":"'), (k + 1.5).cast("string"), F.lit('"},"streams":[{"codec_type":"video","codec_name":"mjpeg","disposition":{"attached_pic":1}}'), F.when(k % 2 == 0, ',{"codec_type":"audio","codec_name":"aac","duration":"1.0"}').otherwise(""), F.when(k % 3 == 0, ',{"codec_type":"video","codec_name":"h264","disposition":{"attached_pic":0}}').otherwise(""), F.lit("]}"))
     audio, video, duration = readers.first_streams(text)
     return table(spark, d, "nation").select(k.alias("id"), audio["codec_name"].alias("audio"), video["codec_name"].alias("video"), duration.alias("duration"))
+
+
+@query(f"""{W}, g AS (SELECT *, CASE WHEN st < max(en) OVER (PARTITION BY rec_id ORDER BY word_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM words), i AS (SELECT *, sum(nw) OVER (PARTITION BY rec_id ORDER BY word_id ROWS UNBOUNDED PRECEDING) AS k FROM g),
+  e AS (SELECT rec_id, word_id, min(word_id) OVER (PARTITION BY rec_id, k) AS a, max(word_id) OVER (PARTITION BY rec_id, k) AS b, max(word_id) OVER (PARTITION BY rec_id) AS m FROM i)
+  SELECT r.rec_id, r.word_id, CAST(x.a AS BIGINT) AS st, CAST(y.b + 1 AS BIGINT) AS en FROM e r JOIN words w ON w.rec_id = r.rec_id AND w.word_id = r.word_id AND w.text = 'signup' JOIN e x ON x.rec_id = r.rec_id AND x.word_id = greatest(r.word_id - 3, 0) JOIN e y ON y.rec_id = r.rec_id AND y.word_id = least(r.word_id + 3, r.m)""")
+def context_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts of three words around roles, grown over overlapping words."""
+    return N.contexts(role(spark, d, "signup").select("rec_id", "word_id"), words(spark, d), K)
+
+
+@query(f"""{W}, t AS (SELECT rec_id, CAST(word_id // 12 AS BIGINT) AS thought, CAST(min(word_id) AS BIGINT) AS st, CAST(max(word_id) + 1 AS BIGINT) AS en FROM words WHERE word_id % 12 < 9 GROUP BY 1, 2), c AS (SELECT *, greatest(st - 80, coalesce(lag(en) OVER w, 0)) AS ctx_st, least(en + 80, coalesce(lead(st) OVER w, 1152921504606846976)) AS ctx_en FROM t WINDOW w AS (PARTITION BY rec_id ORDER BY st))
+  SELECT c.rec_id, c.thought, c.ctx_st, c.ctx_en, count(*) AS n FROM c JOIN words f ON f.rec_id = c.rec_id AND f.text = 'error' AND c.st <= f.word_id AND f.word_id < c.en GROUP BY ALL""")
+def repair_targets(spark: SparkSession, d: str) -> DataFrame:
+    """M7: the thoughts that failures implicate, with contexts clipped by their neighbours."""
+    w = words(spark, d)
+    t = w.where("word_id % 12 < 9").groupBy("rec_id", F.floor(F.col("word_id") / 12).cast("long").alias("thought")).agg(F.min("word_id").cast("long").alias("st"), (F.max("word_id") + 1).cast("long").alias("en"))
+    return N.repair_targets(w.where("text = 'error'"), t, K)
+
+
+@query()
+def edge_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """K8: fades of inserted pieces towards their neighbours."""
+    return N.edge_transitions(B.output_trace(*_segments(spark, d), K), K, 5_000)
+
+
+@query()
+def room_tone_allocation(spark: SparkSession, d: str) -> DataFrame:
+    """Requests served in order, with use counts that carry over."""
+    req, cand = _requests(spark, d)
+    return N.allocate_in_order(req.withColumn("req", F.col("req").cast("long")).withColumn("level", F.lit(40.0)), cand, "rec_id")
+
+
+def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Turns as atoms, and made-up evidence: words heard, every seventh one misspelt, some segments failed or missing."""
+    from spanloom.functions.text import ascii_words
+
+    t = table(spark, d, "conversations").select(F.col("conv_id").alias("rec_id"), F.col("turn").alias("atom"), F.slice(ascii_words(F.col("text")), 1, 16).alias("expected"))
+    heard = F.transform("expected", lambda x, i: F.struct(F.when(i % 7 == 3, F.concat(x, F.lit("z"))).otherwise(x).alias("word"), (i * 0.5).cast("double").alias("start"), (i * 0.5 + 0.4).cast("double").alias("end"), F.lit(0.9).alias("score")))
+    seg = t.where("atom % 5 <> 4").select("rec_id", "atom", heard.alias("observed"), F.when(F.col("atom") % 5 == 3, "decoder failed").alias("error"))
+    return t, seg
+
+
+@query()
+def enrich_transcript(spark: SparkSession, d: str) -> DataFrame:
+    """Transcripts enriched with acoustic evidence, counted by status."""
+    return N.report(N.enrich(*_evidence(spark, d)))
+
+
+@query("SELECT conv_id AS rec_id, turn AS atom, 'missing_segment' AS rule FROM conversations WHERE turn % 5 = 4")
+def evidence_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Atoms and segments that do not pair one to one."""
+    return N.join_evidence(*_evidence(spark, d))[1]
+
+
+@query()
+def mapped_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Aligner outputs consumed in order, one to three a token."""
+    t = _evidence(spark, d)[0].where("size(expected) > 0")
+    parts = F.flatten(F.transform("expected", lambda x, i: F.when((i % 3 == 1) & (F.length(x) > 3), F.array(F.substring(x, F.lit(1), F.lit(2)), F.substring(x, F.lit(3), F.length(x)))).otherwise(F.array(x))))
+    m = t.withColumn("m", N.mapped_outputs_udf()("expected", parts))
+    return m.select("rec_id", "atom", F.coalesce(F.size("m"), F.lit(-1)).alias("n_tokens"), F.size(parts).alias("n_outputs"))

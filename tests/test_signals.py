@@ -163,3 +163,19 @@ def test_conservative_growth_settles(spark):
     unsafe = spark.createDataFrame([("a", 3)], "rec string, word_id long")
     got = sorted((r.st, r.en) for r in B.grown_selection(sel, unsafe, ["rec"], n).collect())
     assert got == [(2, 8)]
+
+
+def test_mapped_outputs():
+    from spanloom.plans.enrich import mapped_outputs
+
+    assert mapped_outputs(["don't", "stop"], ["don", "'t", "stop"]) == [(0, 0, 2), (1, 2, 3)]
+    assert mapped_outputs(["ab"], ["a", "b", "c"]) is None and mapped_outputs([], []) == []
+
+
+def test_allocation_prefers_the_least_used(spark):
+    from spanloom.plans.enrich import allocate_in_order
+
+    req = spark.createDataFrame([("a", i, 10, 0, 40.0) for i in range(3)] + [("a", 9, 999, 0, 40.0)], "rec string, req long, need long, ref long, level double")
+    cand = spark.createDataFrame([("a", "x", 0, 20, 40.0), ("a", "y", 50, 70, 41.0)], "rec string, candidate_id string, st long, en long, level double")
+    got = {r.req: (r.candidate_id, r.take_st, r.uses) for r in allocate_in_order(req, cand, "rec").collect()}
+    assert got == {0: ("x", 5, 1), 1: ("y", 55, 1), 2: ("x", 5, 2), 9: (None, None, 0)}
