@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import crc_of, ids_of, small_batches
 
 DIM = 1 << 13
-SAMPLE = 2400
+SAMPLE = 1600
 SEGMENT = 1 << 18
 UND = "und"
 
@@ -100,17 +100,18 @@ def softmax_fit(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 150, rate: f
     return w
 
 
-def svm_fit(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 12, seed: int = 0) -> np.ndarray:
-    """Linear SVM with hinge loss by dual coordinate descent; y is -1 or 1."""
+def svm_fit(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 12, seed: int = 0) -> np.ndarray:
+    """Linear SVM of some rows with hinge loss by dual coordinate descent; y is -1 or 1. No row is copied."""
     r = np.random.default_rng(seed)
     w, a = np.zeros(x.shape[1], np.float32), np.zeros(len(y))
-    q = (x**2).sum(axis=1) + 1e-9
+    q = np.einsum("ij,ij->i", x, x)[rows] + 1e-9
     top = c / np.where(y > 0, (y > 0).mean(), (y < 0).mean())
     for _ in range(rounds):
         for i in r.permutation(len(y)).tolist():
-            new = min(max(a[i] - (y[i] * float(x[i] @ w) - 1) / q[i], 0), top[i])
+            row = x[rows[i]]
+            new = min(max(a[i] - (y[i] * float(row @ w) - 1) / q[i], 0), top[i])
             if new != a[i]:
-                w += np.float32((new - a[i]) * y[i]) * x[i]
+                w += np.float32((new - a[i]) * y[i]) * row
                 a[i] = new
     return w
 
@@ -119,23 +120,30 @@ class Model:
     """Weights for all n-grams, one column per linear model; scores are means over a text's n-grams."""
 
     def __init__(self, texts: list[str], langs: list[str]):
-        pairs = [(f, y) for f, y in ((frequencies(t), y) for t, y in zip(texts, langs)) if f is not None]
-        self.langs = sorted({y for _, y in pairs})
+        # one matrix, filled and scaled in place: the driver has little memory
+        x, seen = np.zeros((len(texts), DIM + 1), np.float32), []
+        for t, lang in zip(texts, langs):
+            f = frequencies(t)
+            if f is not None:
+                x[len(seen), :-1] = f
+                seen.append(lang)
+        x, y = x[: len(seen)], np.array(seen)
+        self.langs = sorted(set(seen))
         self.families = sorted({family(y) for y in self.langs})
         self.members = {f: [y for y in self.langs if family(y) == f] for f in self.families}
         self.duels = [(f, a, b) for f in self.families for a, b in combinations(self.members[f], 2)]
-        if not pairs:
+        if not seen:
             return
-        raw, y = np.stack([f for f, _ in pairs]), np.array([y for _, y in pairs])
-        scale = 1 / np.sqrt(raw.mean(axis=0) + 1e-5)
-        x = np.concatenate([raw * scale, np.ones((len(y), 1), np.float32)], axis=1).astype(np.float32)
+        scale = 1 / np.sqrt(x[:, :-1].mean(axis=0) + 1e-5)
+        x[:, :-1] *= scale
+        x[:, -1] = 1
         cols = []
         kin = np.array([self.families.index(family(z)) for z in y])
         if len(self.families) > 1:
             cols += list(softmax_fit(x, kin, len(self.families)).T)
         for _, a, b in self.duels:
-            rows = (y == a) | (y == b)
-            cols.append(svm_fit(x[rows], np.where(y[rows] == a, 1, -1)))
+            rows = np.flatnonzero((y == a) | (y == b))
+            cols.append(svm_fit(x, rows, np.where(y[rows] == a, 1, -1)))
         w = np.array(cols, np.float32).reshape(len(cols), x.shape[1]).T
         self.w, self.bias = np.ascontiguousarray(w[:-1] * scale[:, None]), w[-1]
 
