@@ -118,3 +118,18 @@ def grown_selection(selected: DataFrame, unsafe: DataFrame, keys: list[str], n:
     hits = I.overlap_join(unsafe.select(*keys, F.col("word_id").cast("long").alias("st"), (F.col("word_id") + 1).cast("long").alias("en")), wide, keys, carry=["o_s", "o_e"], width=64)
     extra = hits.select(*keys, F.col("o_s").alias("st"), F.col("o_e").alias("en")).distinct()
     return I.merge_overlapping(selected.select(*keys, "st", "en").unionByName(extra), keys)
+
+
+def passthrough(bounds: DataFrame, keys: list[str]) -> DataFrame:
+    """The trivial plan of a recording [0, total): one source segment, marked as degraded."""
+    return bounds.select(*keys, F.lit(0).cast("long").alias("idx"), F.lit("source").alias("kind"), F.lit(0).cast("long").alias("st"), F.col("total").cast("long").alias("en"), F.lit("full_source_passthrough").alias("status"))
+
+
+def retarget_pauses(old: DataFrame, thoughts: DataFrame, keys: list[str], video: bool = False) -> DataFrame:
+    """Pause classes re-keyed to a repaired plan: a transition whose two texts are unchanged keeps its class, others are ruled anew; video has no pauses."""
+    w = Window.partitionBy(*keys).orderBy("idx")
+    nxt = thoughts.withColumn("following", F.lead("text").over(w)).where("following is not null")
+    same = nxt.join(old.select(*keys, "text", "following", F.col("pause_type").alias("_kept")).dropDuplicates([*keys, "text", "following"]), [*keys, "text", "following"], "left")
+    ruled = same.withColumn("_r", X.pause_type(F.col("text"), F.col("following")))
+    kind = F.lit("continuation") if video else F.coalesce("_kept", "_r.pause_type")
+    return ruled.select(*keys, "idx", kind.alias("pause_type"), F.when(F.lit(video), "video").when(F.col("_kept").isNotNull(), "kept").otherwise(F.col("_r.rule")).alias("rule"))

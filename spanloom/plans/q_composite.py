@@ -259,3 +259,27 @@ def mapped_tokens(spark: SparkSession, d: str) -> DataFrame:
     parts = F.flatten(F.transform("expected", lambda x, i: F.when((i % 3 == 1) & (F.length(x) > 3), F.array(F.substring(x, F.lit(1), F.lit(2)), F.substring(x, F.lit(3), F.length(x)))).otherwise(F.array(x))))
     m = t.withColumn("m", N.mapped_outputs_udf()("expected", parts))
     return m.select("rec_id", "atom", F.coalesce(F.size("m"), F.lit(-1)).alias("n_tokens"), F.size(parts).alias("n_outputs"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w, least(greatest(turn * 10.0, 5.0), 60.0) AS a FROM conversations), t AS (SELECT *, least(greatest(turn * 10.0 + 7, a), 60.0) AS b FROM s), u AS (SELECT *, unnest(range(0, len(w))) AS p FROM t)
+  SELECT conv_id AS rec_id, turn AS segment, CAST(p AS INTEGER) AS pos, w[p + 1] AS word, round(a + p * ((b - a) / len(w)), 5) AS start_s, round(a + (p + 1) * ((b - a) / len(w)), 5) AS end_s FROM u""")
+def pseudo_words(spark: SparkSession, d: str) -> DataFrame:
+    """Untimed results as equal slots inside their window."""
+    t = table(spark, d, "conversations").select(F.col("conv_id").alias("rec_id"), F.col("turn").alias("segment"), "text", (F.col("turn") * 10.0).alias("start_s"), (F.col("turn") * 10.0 + 7).alias("end_s"), F.lit(5.0).alias("clip_start"), F.lit(60.0).alias("clip_end"))
+    out = readers.pseudo_words(t)
+    return out.select("rec_id", "segment", "pos", "word", F.round("start_s", 5).alias("start_s"), F.round("end_s", 5).alias("end_s"))
+
+
+@query(f"{W} SELECT rec_id, CAST(0 AS BIGINT) AS idx, 'source' AS kind, CAST(0 AS BIGINT) AS st, CAST(max(en) AS BIGINT) AS en, 'full_source_passthrough' AS status FROM words GROUP BY rec_id")
+def source_passthrough(spark: SparkSession, d: str) -> DataFrame:
+    """The degraded plan that keeps everything, marked as such."""
+    return B.passthrough(words(spark, d).groupBy("rec_id").agg(F.max("en").alias("total")), K)
+
+
+@query()
+def retargeted_pauses(spark: SparkSession, d: str) -> DataFrame:
+    """Pause classes carried over to a repaired plan."""
+    t = thoughts(spark, d)
+    w = Window.partitionBy("rec_id").orderBy("idx")
+    old = t.withColumn("following", F.lead("text").over(w)).where("following is not null and idx % 2 = 0").withColumn("pause_type", F.lit("thought"))
+    return B.retarget_pauses(old, t.where("idx <> 1"), K)

@@ -113,3 +113,11 @@ def chunks(audio: DataFrame, key: str, size: int) -> DataFrame:
     n = F.greatest(F.ceil(F.size("samples") / size).cast("int"), F.lit(1))
     rows = audio.select(key, "samples", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_id"))
     return rows.select(key, "chunk_id", (F.col("chunk_id").cast("long") * size).alias("start_sample"), F.slice("samples", F.col("chunk_id") * size + 1, F.lit(size)).alias("samples"))
+
+
+def pseudo_words(segments: DataFrame) -> DataFrame:
+    """Words of segments without timings: equal slots of the segment's span clipped to its window, marked approximate."""
+    s = segments.withColumn("_a", F.least(F.greatest("start_s", "clip_start"), F.col("clip_end"))).withColumn("_b", F.least(F.greatest("end_s", "_a"), F.col("clip_end")))
+    w = s.withColumn("_w", F.filter(F.split("text", r"\s+"), lambda x: x != "")).select("*", F.posexplode("_w").alias("pos", "word"))
+    step = (F.col("_b") - F.col("_a")) / F.size("_w")
+    return w.select("rec_id", "segment", "pos", "word", (F.col("_a") + F.col("pos") * step).alias("start_s"), (F.col("_a") + (F.col("pos") + 1) * step).alias("end_s"), F.lit(True).alias("approximate"))
