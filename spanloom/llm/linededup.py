@@ -4,7 +4,8 @@ Documents are ordered by id. Every line's hash leads from each document that hol
 to the first one that does, so a line shared by any number of documents gives each of
 them a single partner, and copies are never paired with one another. Each pair is aligned
 by patience diff over the line hashes: common ends, then lines that occur once in both
-and keep their order, then the gaps between. Runs of aligned lines that hold
+and keep their order, then the gaps between; a gap whose shared lines all repeat is
+aligned by a longest common subsequence. Runs of aligned lines that hold
 ``MIN_WORDS`` words or more are deleted from the later document; shorter ones, such as a
 licence line, stay. Blank lines count with the run around them.
 
@@ -63,6 +64,7 @@ def patience(a: list, b: list) -> list[int]:
         anchors = [(i, place[x]) for i, x in enumerate(a[al:ah], al) if x in place]
         anchors = [anchors[k] for k in lis([j for _, j in anchors])]
         if not anchors:
+            out += repeated(a, b, al, ah, bl, bh)
             continue
         # each gap starts at an anchor, which the common start then takes up
         edges = [(al, bl), *anchors, (ah, bh)]
@@ -70,6 +72,34 @@ def patience(a: list, b: list) -> list[int]:
     return sorted(out)
 
 
+def repeated(a: list, b: list, al: int, ah: int, bl: int, bh: int) -> list[int]:
+    """Positions of ``a`` in a longest common subsequence of a gap whose shared lines all repeat (bit-parallel)."""
+    here = set(b[bl:bh])
+    ia = [i for i in range(al, ah) if a[i] in here]
+    there = {a[i] for i in ia}
+    mask, m = {}, 0
+    for x in b[bl:bh]:
+        if x in there:
+            mask[x] = mask.get(x, 0) | 1 << m
+            m += 1
+    full = v = (1 << m) - 1
+    rows = []
+    for i in ia:
+        u = v & mask[a[i]]
+        v = (v + u | v - u) & full
+        rows.append(v)
+    out, i, j = [], len(ia), m
+    while i and j:
+        if rows[i - 1] >> j - 1 & 1:
+            j -= 1
+        else:
+            i -= 1
+            if not i or rows[i - 1] >> j - 1 & 1:
+                out.append(ia[i])
+                j -= 1
+    return out
+
+
 def kept_runs(aligned: list[int], words: list[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
     """(first, count) of the line runs that stay; empty if all go."""
     n, hit = len(words), set(aligned)

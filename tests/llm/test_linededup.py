@@ -102,3 +102,21 @@ def test_cases(spark):
     got = sorted((x.doc_id or 99, x.text) for x in D.report(df).collect())
     assert got == [(1, passage), (1, passage), (2, "own\nend"), (3, "All rights reserved."), (4, "All rights reserved."), (99, "")]
     assert D.report(df.limit(0)).count() == 0
+
+
+def test_repeated_lines_align(spark):
+    assert D.patience(list("pXq"), list("aXbXc")) == [1]
+    r = Random(4)
+    for _ in range(300):
+        a, b = r.choices("aabbcd", k=r.randint(0, 9)), r.choices("aabbce", k=r.randint(0, 9))
+        at = D.repeated(a, b, 0, len(a), 0, len(b))[::-1]
+        size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                size[i + 1][j + 1] = size[i][j] + 1 if x == y else max(size[i][j + 1], size[i + 1][j])
+        rest = iter(b)
+        assert len(at) == size[-1][-1] and at == sorted(at) and all(a[i] in rest for i in at)
+    x = "word " * 60
+    rows = [(1, f"a\n{x}\nb\n{x}\nc"), (2, f"p\n{x}\nq"), (3, f"r\n{x}\ns")]
+    got = {v.doc_id: v.text for v in D.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "p\nq", 3: "r\ns"}
