@@ -446,10 +446,31 @@ def reconcile(cands: set[Span], taken: list[Span]) -> list[Span]:
     return out[::-1]
 
 
+def whole_spans(pieces: list[tuple[str, int, int, bool, bool]]) -> list[Span]:
+    """Spans cut by windows' inner edges (kind, start, end, cut at start, cut at end), joined where they overlap."""
+    out, held = [], None
+    for kind, a, b, left, right in sorted(pieces):
+        if held and held[0] == kind and a < held[2]:
+            if b > held[2]:
+                held[2], held[4] = b, right
+            elif b == held[2]:
+                held[4] = held[4] and right
+            if a == held[1]:
+                held[3] = held[3] and left
+            continue
+        if held and not held[3] and not held[4]:
+            out.append(tuple(held[:3]))
+        held = [kind, a, b, left, right]
+    if held and not held[3] and not held[4]:
+        out.append(tuple(held[:3]))
+    return out
+
+
 def added_spans(model: Tagger, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     """Spans that the tagger adds to each text's rule spans."""
     jobs = [(k, *w) for k, s in enumerate(texts) for w in windows_of(s)]
     cands: list[set[Span]] = [set() for _ in texts]
+    pieces: list[list[tuple]] = [[] for _ in texts]
     for n in range(0, len(jobs), 256):
         lot = jobs[n : n + 256]
         ids = np.zeros((WINDOW, len(lot)), np.int64)
@@ -458,10 +479,16 @@ def added_spans(model: Tagger, texts: list[str], base: list[list[Span]]) -> list
         tags = model.decode(ids)
         for c, (k, a, b, lo, hi) in enumerate(lot):
             for raw in spans_of(tags[: b - a, c], a):
+                left, right = raw[1] == a and a > lo, raw[2] == b and b < hi
+                if left or right:
+                    pieces[k].append((*raw, left, right))
                 span = tightened(texts[k], raw)
                 cut_off = span[1] == a and a > lo or span[2] == b and b < hi
                 if not cut_off and plausible(texts[k], span):
                     cands[k].add(span)
+    for k, cut in enumerate(pieces):
+        whole = (tightened(texts[k], x) for x in whole_spans(cut))
+        cands[k].update(x for x in whole if plausible(texts[k], x))
     return [reconcile(c, b) if c else [] for c, b in zip(cands, base)]
 
 

@@ -2,6 +2,7 @@ import hashlib
 import re
 from random import Random
 
+import numpy as np
 import pytest
 from spanloom.llm import pii
 
@@ -105,3 +106,29 @@ def test_frame(spark, model):
     assert by[3].base_sha256 == hashlib.sha256(b"email:5:13,email:16:21").hexdigest()
     assert by[5].n_phone == 1 and by[None].n_ip == 1
     assert pii.find(df.limit(0)).count() == 0
+
+
+def test_spans_across_windows():
+    class Oracle:
+        """Tags hex digits, the quotes and the key of a secret, as seen in a window alone."""
+
+        def decode(self, ids):
+            out = np.zeros(ids.shape, np.int64)
+            for c in range(ids.shape[1]):
+                inside = False
+                for t in range(ids.shape[0]):
+                    hit = ids[t, c] in wanted
+                    out[t, c] = pii.TAGS.index("I-secret" if inside else "B-secret") if hit else 0
+                    inside = hit
+            return out
+
+    wanted = set(pii.encode("k=0123456789ABCDEF").tolist()) - {0}
+    assert not wanted & set(pii.encode("z ").tolist())
+    texts, gold = [], []
+    for size in (40, 49, 64, 96, 97, 150, 200):
+        for at in range(48):
+            value = ("0A1B2C3D4E5F6789" * 13)[:size]
+            texts.append("z " * 30 + "z" * at + " k=" + value + " " + "z " * 60)
+            gold.append(("secret", 61 + at, 63 + at + size))
+    found = pii.added_spans(Oracle(), texts, [[] for _ in texts])
+    assert [f == [g] for f, g in zip(found, gold)] == [True] * len(gold)
