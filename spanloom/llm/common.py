@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import shutil
 import tempfile
+import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanloom import ship
 
-#: Bytes of UTF-8 text that a Python worker holds as words or arrays at once.
-CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch, but for a single row that is longer.
+BATCH_BYTES = 8 << 20
+_OWN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,27 +27,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound an Arrow batch by rows, so that long texts don't fill a worker; workers get the package."""
+    """Bound an Arrow batch by rows and bytes, so that long texts don't fill a worker; workers get the package.
+
+    The two settings stay lowered for the session: a plan reads them when it runs.
+    """
     ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch("([0-9]+)b?", spark.conf.get(key))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder of spark.checkpoint.dir and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all machines see.
 
-    Only where the setting is empty, as in tests, a folder of our own is used.
+    Only where the setting is empty and all runs in one process on one machine, as in
+    tests, a folder of our own is used; on a cluster an empty setting is an error.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = spark.conf.get("spark.checkpoint.dir", "") or ""
-        if not shared:
-            import atexit
+    shared = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if shared:
+        return shared.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="spanloom-"))
+        atexit.register(shutil.rmtree, _OWN[0], True)
+    return _OWN[0]
 
-            shared = tempfile.mkdtemp(prefix="spanloom-")
-            atexit.register(shutil.rmtree, shared, True)
-        sc.setCheckpointDir(shared)
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the shared folder and cut its lineage."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -62,17 +78,13 @@ def ids_of(batch: pa.RecordBatch, column: str = "doc_id") -> list:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
-def by_size(items: Iterable[tuple], size_of, limit: int = CHUNK_BYTES) -> Iterator[list[tuple]]:
-    """Group items in order into lists of about ``limit`` bytes; a longer item stands alone."""
-    held, total = [], 0
-    for x in items:
-        held.append(x)
-        total += size_of(x)
-        if total >= limit:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
+def fresh(columns: Iterable[str], name: str) -> str:
+    """``name``, or ``name`` with a number, whichever no column has yet."""
+    taken, out, k = {c.lower() for c in columns}, name, 0
+    while out.lower() in taken:
+        k += 1
+        out = f"{name}_{k}"
+    return out
 
 
 def shared_table(df: DataFrame) -> DataFrame:
@@ -81,15 +93,8 @@ def shared_table(df: DataFrame) -> DataFrame:
     The files stay while the session lives, so that a lost executor's work can be read
     again, and are removed when the driver's Python ends.
     """
-    import atexit
-    import uuid
-
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="spanloom-")
-        atexit.register(shutil.rmtree, shared, True)
-    path = f"{shared.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/spanloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
 
     def drop() -> None:
