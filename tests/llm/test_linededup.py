@@ -129,9 +129,9 @@ def test_cases(spark):
 def test_clashing_names(spark):
     passage = "a passage of words " * 12
     names = ["_n_removed", "_runs", "_o", "o", "rid", "key", "hits", "a.b", "_N_LINES"]
-    rows = [(i, "own\n" + passage, *range(9)) for i in range(2)]
+    rows = [(i, f"own {i}\n" + passage, *range(9)) for i in range(2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
     out, new = D.dedup(df)
     assert out.columns == [*df.columns, *new.values()] and len({c.lower() for c in out.columns}) == len(out.columns)
     got = {r[0]: r for r in out.collect()}
-    assert [*got[1]][2:] == [*range(9), 2, 1, 0] and got[1][1] == "own"
+    assert [*got[1]][2:] == [*range(9), 2, 1, 0] and got[1][1] == "own 1"
