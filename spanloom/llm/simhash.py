@@ -12,12 +12,15 @@ partition, so probing all keys within t_i loses no link. Partitions, their sizes
 and thresholds come from a dynamic programme on candidate counts that are
 estimated from a bounded sample of fingerprints, scaled to their full number.
 
-Rows of one key may be many, so a key is dealt into blocks and the pairs of
-blocks are verified as separate groups; a group emits only a spanning forest of
-its links, which leaves the components as they are.
-
-Null and empty texts have fingerprint zero and link like any other. Repeated
-rows, ties and extra columns do not matter; an empty table gives an empty result.
+Rows of one key, its own and those that probe it, may be many, so a key is dealt into
+blocks by both and the pairs of blocks are verified as separate groups; a group emits
+only a spanning forest of its links, which leaves the components as they are. Of two
+fingerprints whose keys differ, only the one with the lesser key probes.
+
+Null and empty texts have fingerprint zero and link like any other. Texts are read
+whole, whatever their length. Repeated rows, ties and extra columns of any name do not
+matter; a null id is never a component's least id, unless it has no other. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ids_of, small_batches, texts_of
+from .common import cut, fresh, ids_of, small_batches, texts_of
 
 SHINGLE = 4
 SEED = 42
@@ -63,16 +66,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(set_bits.view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str = "doc_id") -> DataFrame:
+    """(key, fp): fp is the fingerprint of ``text`` as a signed long; ``key`` is any column."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t) for t in texts_of(b)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids_of(b), pa.int64()), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t, shingle) for t in texts_of(b)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], [key, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, fp long")
 
 
 # --- the index -----------------------------------------------------------------
@@ -134,7 +137,7 @@ def plan_index(sample: np.ndarray, n: int, max_bits: int = MAX_BITS) -> list[tup
         cost = []
         for g in groups:
             keys = key_of(sample, g)
-            few = keys[:512]
+            few = np.random.default_rng(7).permutation(keys)[:512]
             near = np.bitwise_count(keys[:, None] ^ few[None, :])
             pairs = max(1, near.size - len(few))
             row = [0.0]
@@ -187,7 +190,7 @@ def verified(left: np.ndarray, right: np.ndarray, max_bits: int) -> list[tuple[i
 
 
 def probes(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """(part, key, fp, probe): one row to be found for each partition, and one for each key to look up."""
+    """(part, key, fp, probe): one row to be found for each partition, and one for each greater key to look up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["part", "key", "fp", "probe"]
@@ -196,24 +199,32 @@ def probes(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
             fp = np.array(ids_of(b, "fp"), np.int64)
             for p, (bits, _) in enumerate(plan):
                 key = key_of(fp.view(np.uint64), bits)
-                # keys at distance 0 meet as index rows; only differing keys are probed
-                ks = [key, *((key ^ m) for m in masks[p])]
-                n = len(ks)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n * len(fp), p, np.int32)), pa.array(np.concatenate(ks)), pa.array(np.tile(fp, n)), pa.array(np.repeat(np.arange(n) > 0, len(fp)))], names)
+                # keys at distance 0 meet as index rows; of two that differ the lesser one looks the other up
+                ks, fs = [key], [fp]
+                for m in masks[p].tolist():
+                    up = (key ^ m) > key
+                    ks.append(key[up] ^ m)
+                    fs.append(fp[up])
+                ks, fs = np.concatenate(ks), np.concatenate(fs)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ks), p, np.int32)), pa.array(ks), pa.array(fs), pa.array(np.arange(len(ks)) >= len(fp))], names)
 
     return fps.select("fp").mapInArrow(run, "part int, key long, fp long, probe boolean")
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
-    """(a, b): links between distinct fingerprints, enough to connect every component."""
+def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, sample: int = SAMPLE, plan: list[tuple[list[int], int]] | None = None) -> DataFrame:
+    """(a, b): links between distinct fingerprints, enough to connect every component.
+
+    ``plan`` sets partitions (lists of bits) and thresholds, with sum(t + 1) = max_bits + 1; else they are estimated.
+    """
     n = fps.count()
     few = fps.orderBy(F.xxhash64("fp")).limit(sample).toArrow().column("fp").to_numpy().astype(np.int64)
     if not len(few):
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    plan = plan_index(few.view(np.uint64), n, max_bits)
+    plan = plan or plan_index(few.view(np.uint64), n, max_bits)
     rows = probes(fps, plan)
-    heavy = probes(fps, [(g, 0) for g, _ in plan]).groupBy("part", "key").count().where(F.col("count") > block)
-    heavy = cut(heavy.select("part", "key", F.ceil(F.col("count") / F.lit(block)).cast("int").alias("nb")))
+    # Every row of a key counts, so that a key beside a common one, which takes all its probes, is dealt too.
+    heavy = rows.groupBy("part", "key").agg(F.count("*").alias("n"), F.sum(F.when(F.col("probe"), 0).otherwise(1)).alias("own")).where((F.col("n") > block) & (F.col("own") > 0))
+    heavy = cut(heavy.select("part", "key", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("nb")))
     light = rows.join(heavy, ["part", "key"], "left_anti").select("part", "key", F.lit(0).alias("x"), F.lit(0).alias("y"), "fp", "probe", F.lit(0).alias("blk"))
     # Large keys are dealt in blocks, and each pair of blocks is a group of its own.
     own = rows.join(heavy, ["part", "key"]).withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
@@ -228,9 +239,10 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, sample:
     return spread.mapInArrow(run, "a long, b long")
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[list[np.ndarray]]:
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[list[np.ndarray]]:
     """Columns of sorted rows in pieces that end where a (part, key, x, y) ends."""
     held: list[pa.RecordBatch] = []
+    want = rows
 
     def joined() -> list[np.ndarray]:
         t = pa.Table.from_batches(held)
@@ -238,12 +250,15 @@ def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iter
 
     for b in batches:
         held.append(b)
-        if sum(x.num_rows for x in held) >= rows:
+        size = sum(x.num_rows for x in held)
+        if size >= want:
+            want = 2 * size  # a group that goes on is not joined anew with every batch
             cols = joined()
             new = group_starts(cols)
             if len(new) > 1:
                 yield [c[: new[-1]] for c in cols]
                 held = [pa.Table.from_batches(held).slice(int(new[-1])).combine_chunks().to_batches()[0]]
+                want = rows + held[0].num_rows
     if held:
         yield joined()
 
@@ -291,39 +306,59 @@ def grouped_links(part, key, x, y, fp, probe, blk, max_bits: int, small: int = 4
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every linked node but the roots; root is the least node of its component.
 
-    Alternating large-star and small-star steps; each is one shuffle of the links
-    and halves path lengths. No component is ever held by one task: a star's
-    centre is found by a partial aggregate and joined back.
+    Alternating large-star and small-star steps, until nothing changes; each is one
+    shuffle of the links and shortens all paths. No component is ever held by one task: a
+    star's centre is found by a partial aggregate, cut, and joined back, so that Spark
+    can split the rows of a hub.
     """
     e = cut(edges.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-    for _ in range(max_rounds):
+    while True:
         both = e.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(e.select(F.col("v").alias("n"), F.col("u").alias("m")))
-        low = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("r"))
-        large = both.join(low, "n").where("m > n").select(F.col("r").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = cut(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("r")))
+        large = cut(both.join(low, "n").where("m > n").select(F.col("r").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # small star: every node points at its least neighbour, and its other smaller neighbours do too
-        low2 = large.groupBy("v").agg(F.min("u").alias("r"))
+        low2 = cut(large.groupBy("v").agg(F.min("u").alias("r")))
         small = large.join(low2, "v").select("r", "u", "v")
-        nxt = small.select(F.col("r").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u <> v").distinct()
-        nxt = cut(nxt)
-        done = nxt.select("u").intersect(nxt.select(F.col("v").alias("u"))).isEmpty() and nxt.groupBy("v").count().where("count > 1").isEmpty()
-        e = nxt
-        if done:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("v").alias("node"), F.col("u").alias("root"))
+        e = cut(small.select(F.col("r").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u <> v").distinct())
+        if e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and e.groupBy("v").count().where("count > 1").isEmpty():
+            return e.select(F.col("v").alias("node"), F.col("u").alias("root"))
+
 
+def classes_of(fp: DataFrame, key: str, max_bits: int = MAX_BITS, plan: list | None = None) -> DataFrame:
+    """(fp, least): the least ``key`` of each fingerprint's component, cut so that very common fingerprints can be split."""
+    distinct = cut(fp.groupBy("fp").agg(F.min(key).alias("first")))
+    roots = components(links(distinct, max_bits, plan=plan))
+    reps = cut(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    least = cut(reps.groupBy("root").agg(F.min("first").alias("least")))
+    return cut(reps.join(least, "root").select("fp", "least"))
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every document."""
-    fp = fingerprints(docs)
-    fp = cut(fp)
-    distinct = cut(fp.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(distinct, max_bits))
-    reps = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = reps.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = reps.join(least, "root").select("fp", "component_id")
-    return fp.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fp = cut(fingerprints(docs, shingle))
+    classes = classes_of(fp, "doc_id", max_bits)
+    return fp.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def representatives(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each component: least id, null ids last, ties by a hash of the text.
+
+    Rows are told apart by id and text, so a repeated id takes no other text with it; of
+    rows alike in both, one stays.
+    """
+    o = fresh(docs.columns, "_o")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("hash"))
+    fp = cut(fingerprints(docs.select(order.alias("o"), "text"), shingle, "o"))
+    rows = cut(fp.groupBy("o", "fp").agg(F.count("*").alias("n")))
+    marked = rows.join(classes_of(fp, "o", max_bits), "fp")
+    # what to do with a row: rows not listed stay
+    others = cut(marked.where("o <> least or n > 1").select(F.col("o").alias(o), (F.col("o") == F.col("least")).alias("first")))
+    mark = fresh([*docs.columns, o], "_first")
+    joined = docs.withColumn(o, order).join(others.withColumnRenamed("first", mark), o, "left")
+    out = joined.where(F.col(mark).isNull())
+    if not others.where("first").isEmpty():
+        out = out.unionByName(joined.where(F.col(mark)).dropDuplicates([o]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -73,6 +73,60 @@ def test_random_links_small_blocks(spark):
                 assert {got.get(x, x) for x in g} == {min(g)}
 
 
+def test_forced_thresholds(spark, monkeypatch):
+    """Unequal thresholds with probes, on keys beside very common ones, against all pairs."""
+    rng = np.random.default_rng(8)
+    fps = set()
+    for c in rng.integers(0, 2**63, 6, dtype=np.uint64):
+        for _ in range(120):
+            x = int(c)
+            for b in rng.integers(0, 64, int(rng.integers(0, 7))):
+                x ^= 1 << int(b)
+            fps.add(x)
+    fps = sorted(fps)
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    comp = brute_components(fps)
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    order = rng.permutation(64).tolist()
+    cut = lambda sizes: [sorted(order[sum(sizes[:i]) : sum(sizes[: i + 1])]) for i in range(len(sizes))]
+    for sizes, ts in (([22, 22, 20], (1, 1, 0)), ([32, 32], (2, 1)), ([16, 16, 16, 16], (1, 0, 0, 0))):
+        plan = list(zip(cut(sizes), ts))
+        biggest = S.probes(df, plan).groupBy("part", "key").count().agg({"count": "max"}).first()[0]
+        for block in (16, 4096):
+            got = {r.node: r.root for r in S.components(S.links(df, block=block, plan=plan)).collect()}
+            least = {}
+            for x, c in zip(signed, comp):
+                least[c] = min(least.get(c, x), x)
+            assert all(got.get(x, x) == least[c] for x, c in zip(signed, comp)), (sizes, block)
+        assert biggest > 16
+
+
+def test_groups_are_dealt_by_all_their_rows(spark):
+    """A key beside a common one takes its probes and is split like it."""
+    rng = np.random.default_rng(2)
+    fps = [(int(h) << 16) | 5 for h in rng.integers(0, 2**40, 500)] + [(int(h) << 16) | 4 for h in rng.integers(0, 2**40, 3)]
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    plan = [(list(range(16)), 1), (list(range(16, 40)), 1), (list(range(40, 64)), 0)]
+    rows = S.probes(df, plan).where("part = 0").groupBy("key").agg({"*": "count"}).collect()
+    assert {r.key: r[1] for r in rows}[5] == 503  # its own and the probes of key 4
+
+
+def test_representatives(spark):
+    rng = np.random.default_rng(4)
+    a, b, c = (" ".join(rng.choice([f"w{i}" for i in range(90)], 80)) for _ in range(3))
+    rows = [(1, a, 0), (2, a, 1), (2, b, 2), (5, c, 3), (5, c, 3), (5, c, 4), (None, b, 5), (None, None, 6), (7, "", 7), (8, " \n", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _o int").withColumnRenamed("_o", "_O")
+    got = sorted(((r.doc_id, r.text) for r in S.representatives(df).collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (5, c), (7, "")], key=str)
+    assert S.representatives(df).columns == df.columns and S.representatives(df.limit(0)).count() == 0
+
+
+def test_null_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "one two"), (3, "one two"), (3, "one two"), (None, "three")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in S.near_duplicates(df).collect()), key=str)
+    assert got == [(3, 3), (3, 3), (None, 3), (None, None)]
+
+
 def test_path_component(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
     assert {r.root for r in S.components(df).collect()} == {0}
