@@ -6,13 +6,17 @@ family from their frequencies; within a family, one-versus-one linear support ve
 machines separate the languages, by votes and then by margins.
 
 The models learn from a bounded sample of ``SAMPLE`` labelled training rows, drawn by
-hash and spread evenly over the languages; training rows are those whose
+hash and spread evenly over the languages, but of ``LEAST`` rows of each language at
+least, so every lang value that training rows have is learned; training rows are those whose
 crc32(doc_id as text) mod 4 is not 2 and whose lang is not null. Texts are read
 whole, in training and in prediction.
 
+The model holds one vector of ``DIM`` weights for each family and each pair of languages
+in a family, and goes to every task.
+
 A null text, or one without letters, gets ``und`` and score 0; so does every text when
-there is nothing to learn from. Equal texts get equal predictions; a null id counts
-as training. Extra columns are ignored, an empty table gives an empty result.
+there is nothing to learn from. Equal texts get equal predictions, ties
+between languages go to the last by name; a null id counts as training, repeated rows count as often as they occur. Extra columns are ignored, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +34,8 @@ from pyspark.sql import types as T
 from .common import crc_of, ids_of, small_batches
 
 DIM = 1 << 13
-SAMPLE = 1600
+SAMPLE = 2400
+LEAST = 8
 SEGMENT = 1 << 18
 UND = "und"
 
@@ -179,10 +184,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from about ``sample`` labelled training rows, as many of each language."""
     mod = F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)), F.lit(4))
     rows = docs.select("doc_id", "text", "lang").where((mod != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Model([], [])
-    share = sample / len(counts)
+    share = max(LEAST, sample / len(counts))
     dice = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1_000_000)) / F.lit(1e6)
     limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, share / n))])
     some = rows.where(dice < F.coalesce(F.try_element_at(limit, F.col("lang")), F.lit(0.0))).toArrow().to_pandas()
@@ -190,8 +195,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(some["text"].tolist(), some["lang"].tolist())
 
 
-def predict(docs: DataFrame, model: Model | None = None, keep: bool = False) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score); with ``keep`` the columns of ``docs`` before the last two."""
+def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every document."""
     spark = docs.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(model or fit(docs))
@@ -199,15 +204,22 @@ def predict(docs: DataFrame, model: Model | None = None, keep: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            found = [m.predict(t) for t in ids_of(b, "text")]
+            found, ids = [m.predict(t) for t in ids_of(b, "text")], ids_of(b)
             lang, score = pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())
-            if keep:
-                yield pa.RecordBatch.from_arrays([*b.columns, lang, score], [*b.schema.names, "lang_pred", "score"])
-            else:
-                ids = ids_of(b)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(crc_of(ids) % 4 == 2), lang, score], ["doc_id", "held_out", "lang_pred", "score"])
-
-    if keep:
-        docs = docs.drop("lang_pred", "score")
-        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(crc_of(ids) % 4 == 2), lang, score], ["doc_id", "held_out", "lang_pred", "score"])
+
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows of ``docs`` whose prediction is a language; no column is added or changed."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    held = spark.sparkContext.broadcast(model or fit(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for b in batches:
+            yield b.filter(pa.array([m.predict(t)[0] != UND for t in ids_of(b, "text")], pa.bool_()))
+
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields))

@@ -23,7 +23,9 @@ def test_held_out_accuracy_and_cases(spark):
     by = {r.doc_id: r for r in got}
     assert all((by[i].lang_pred, by[i].score) == ("und", 0.0) for i in (900, 901, 902))
     assert by[903].lang_pred == "en" and all(0 <= r.score <= 1 for r in got)
-    assert L.predict(df, keep=True).columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    kept = L.recognised(df)
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.lang_pred != "und")
+    assert all(r.score == 0.0 for r in kept.collect())  # a column of the user's, not the prediction's
     assert {r.lang_pred for r in L.predict(df.limit(3).selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
     assert L.predict(df.limit(0)).count() == 0
 
@@ -39,3 +41,19 @@ def test_family_first():
     assert L.family("pt-BR") == "romance" and L.family("xx") == "other"
     m = L.Model(["der und ung", "the of and ing"], ["de", "en"])
     assert m.families == ["germanic"] and len(m.duels) == 1
+
+
+def test_many_languages(spark):
+    """Every lang value is learned, however many there are."""
+    r = np.random.default_rng(3)
+    heads = ["en", "fr", "ru", "hi", "ar", "tr", "fi", "zh", "xx"]
+    langs = [f"{heads[k % 9]}-{k}" for k in range(207)]
+    rows = []
+    for k, lang in enumerate(langs):
+        words = ["".join(chr(0x4E00 + 40 * k + int(c)) for c in r.integers(0, 40, 3)) for _ in range(12)]
+        rows += [(20 * k + j, " ".join(r.choice(words, 30)), lang) for j in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(df, sample=300)
+    assert set(model.langs) == set(langs)
+    got = L.predict(df, model).where("held_out").join(df, "doc_id").selectExpr("lang_pred = lang ok").collect()
+    assert np.mean([x.ok for x in got]) > 0.9
