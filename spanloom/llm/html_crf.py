@@ -2,13 +2,15 @@
 
 A tolerant tokenizer walks the markup once, keeps the stack of open elements and cuts
 the page into leaf blocks: runs of text between block-level tags. Scripts, styles,
-comments, declarations and other invisible parts are dropped on the way. Each block
+comments, declarations and elements that are not shown are dropped on the way, also from
+the middle of a block. What an element inherits is a state shared by all elements alike,
+so time and memory are linear in the page, however deep it is nested. Each block
 has features of its ancestors (tags, words of class, id and role) and of its text
 (length, share of link text, punctuation, place). The CRF labels blocks as content or
 not; it is trained by gradient ascent in numpy on generated labelled pages of many
 layouts and decoded by Viterbi, exactly.
 
-Text of kept blocks: character references decoded, white space inside a block turned
+A block's ancestors are those of its first shown text. Text of kept blocks: character references decoded, white space inside a block turned
 into one space, trimmed, blocks joined by a newline in page order. A null or empty page,
 or one without content, gives an empty text. A tag cut off by the page's end is dropped.
 Repeated rows are treated alike; extra columns are ignored; an empty table gives an
@@ -30,50 +32,144 @@ from pyspark.sql import DataFrame
 from .common import ids_of, small_batches
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z) | <!\[CDATA\[.*?(?:\]\]>|\Z) | <[!?][^>]*+(?:>|\Z)
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z)) | <!\[CDATA\[.*?(?:\]\]>|\Z) | <[!?][^>]*+(?:>|\Z)
     | <(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attr>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
     | </?(?P<torn>[a-zA-Z])[^>]*+(?:>|\Z) | </?\Z | (?P<text>[^<]++|<)""",
     re.S | re.X,
 )
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
+_ATTR = re.compile(r"""(?<![a-zA-Z-])(?:([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))|(hidden)(?![a-zA-Z-]))""", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
 
 #: Fixed values of HTML: elements by how they are laid out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style title textarea noscript template svg math iframe object select canvas audio video head".split())
+HIDDEN = frozenset("script style title textarea noscript template svg iframe object select canvas audio video head".split())
 RAW = frozenset("script style title textarea iframe".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SCOPE = frozenset("ul ol dl table menu div article section body main aside nav td th blockquote form".split())
+IN_HEAD = frozenset("base basefont bgsound html link meta noframes noscript script style template title".split())
+SCOPE = frozenset("ul ol dl table menu div article section body main aside nav td th blockquote form button caption noscript object select svg template".split())
+
+
+#: Elements that are features by name; all others share one.
+NAMED = BLOCK | HIDDEN | frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark math q s samp small span strike strong sub sup time tt u var wbr".split())
+
+
+class State:
+    """What an element and its ancestors amount to; elements alike in it share one."""
+
+    __slots__ = ("marks", "leaf", "main", "header", "inner", "hidden", "below", "features")
+
+    def __init__(self, marks: frozenset, leaf: str, main: bool, header: bool, inner: bool, hidden: bool):
+        self.marks, self.leaf, self.main, self.header, self.inner, self.hidden = marks, leaf, main, header, inner, hidden
+        self.below: dict[tuple, State] = {}
+        self.features: list[str] | None = None
+
+    def key(self) -> tuple:
+        return self.marks, self.leaf, self.main, self.header, self.inner, self.hidden
+
+    def child(self, tag: str, attr: str) -> State:
+        """The state of an element in this one."""
+        words = words_of_attributes(attr) if attr and not attr.isspace() else ()
+        found = self.below.get((tag, words))
+        if found is None:
+            marks = {f"in:{tag if tag in NAMED else 'other'}"}
+            for w in words:
+                if w == "hidden":
+                    marks.add("hidden")
+                elif w in GROUP:
+                    marks |= {f"group:{GROUP[w]}", f"word:{w}"}
+            new = State(
+                self.marks if marks <= self.marks else self.marks | marks, tag if tag in BLOCK else self.leaf, self.main or tag in ("article", "main"), self.header or tag == "header",
+                self.inner or tag == "header" and self.main and not self.header, self.hidden or tag in HIDDEN or NOT_SHOWN in words,
+            )
+            found = self.below[tag, words] = _STATES.setdefault(new.key(), new)
+        return found
+
+
+_STATES: dict[tuple, State] = {}
+NOT_SHOWN = "not shown"
+
+
+def root_state() -> State:
+    """The state above all elements; states are forgotten where too many have come together."""
+    if len(_STATES) > 20_000:
+        _STATES.clear()
+    new = State(frozenset(), "", False, False, False, False)
+    return _STATES.setdefault(new.key(), new)
 
 
 class Block:
-    __slots__ = ("path", "parts", "linked", "size", "text")
+    __slots__ = ("state", "parts", "linked", "size", "text")
 
-    def __init__(self, path: tuple):
-        self.path, self.parts, self.linked, self.size, self.text = path, [], 0, 0, ""
+    def __init__(self, state: State):
+        self.state, self.parts, self.linked, self.size, self.text = state, [], 0, 0, ""
 
 
 @lru_cache(maxsize=20_000)
 def words_of_attributes(attr: str) -> tuple[str, ...]:
-    """Lower-case words of class, id and role, and ``hidden`` if the element is not shown."""
-    out = []
+    """Known lower-case words of class, id and role, ``hidden`` of an element for the eye only, ``not shown`` of one that is not displayed."""
+    out = set()
     for name, a, b, c, bare in _ATTR.findall(attr):
         value, name = a or b or c, name.lower()
-        if bare or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or name == "aria-hidden" and value == "true":
-            out.append("hidden")
+        if bare or name == "hidden" or name == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value):
+            out.add(NOT_SHOWN)
+        elif name == "aria-hidden" and value == "true":
+            out.add("hidden")
         elif name in ("class", "id", "role", "itemprop"):
-            out += [w.lower() for w in _WORD.findall(value)]
-    return tuple(out)
+            out |= {w.lower() for w in _WORD.findall(value)} & GROUP.keys()
+    return tuple(sorted(out))
+
+
+class Stack:
+    """Open elements, with the places of each tag, of block elements and of those that end a search."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.states = [root_state()]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+
+    def last(self, tag: str) -> int:
+        held = self.at.get(tag)
+        return held[-1] if held else -1
+
+    def push(self, tag: str, attr: str) -> None:
+        k = len(self.tags)
+        self.tags.append(tag)
+        self.states.append(self.states[-1].child(tag, attr))
+        self.at.setdefault(tag, []).append(k)
+        if tag in BLOCK:
+            self.blocks.append(k)
+        if tag in SCOPE:
+            self.scopes.append(k)
+
+    def close(self, k: int) -> None:
+        """Close element ``k`` and all in it."""
+        while len(self.tags) > k:
+            self.at[self.tags.pop()].pop()
+            self.states.pop()
+        for held in (self.blocks, self.scopes):
+            while held and held[-1] >= k:
+                held.pop()
+
+    def imply(self, tag: str) -> None:
+        """Close what a block-level start tag ends: a paragraph, or an item of its own kind."""
+        k = max(self.last(t) for t in ("p", *CLOSES.get(tag, ())))
+        if k >= 0 and k >= (self.scopes[-1] if self.scopes else -1):
+            self.close(k)
+
+    def end(self, tag: str) -> None:
+        k = self.last(tag)
+        if k >= 0 and (tag in BLOCK or tag in HIDDEN or k > (self.blocks[-1] if self.blocks else -1)):
+            self.close(k)
 
 
 def blocks_of(page: str | None) -> list[Block]:
     """Leaf blocks with text, in page order."""
     page = page or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    path: tuple = ()
-    links = 0
+    stack = Stack()
     out: list[Block] = []
     now: Block | None = None
     at = 0
@@ -84,62 +180,49 @@ def blocks_of(page: str | None) -> list[Block]:
         at = m.end()
         text = m["text"]
         if text is not None:
+            if stack.last("head") >= 0 and not text.isspace():
+                stack.close(stack.last("head"))
+            state = stack.states[-1]
+            if state.hidden:
+                continue
             if now is None:
-                if not text.strip():
+                if text.isspace():
                     continue
-                now = Block(path)
+                now = Block(state)
                 out.append(now)
             now.parts.append(text)
             now.size += len(text)
-            if links:
+            if stack.last("a") >= 0:
                 now.linked += len(text)
             continue
         tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
-        attr = m["attr"]
-        if not m["end"]:
-            if tag in RAW:
-                close = re.compile(rf"</{tag}[^>]*+>", re.I).search(page, at)
-                at = close.end() if close else size
-                continue
-            if tag == "br":
-                if now:
-                    now.parts.append(" ")
-                continue
-            if tag in BLOCK:
+        if m["end"]:
+            if tag in BLOCK and not stack.states[-1].hidden:
                 now = None
-                closes = CLOSES.get(tag)
-                for i in range(len(stack) - 1, -1, -1):
-                    t = stack[i][0]
-                    if t == "p" or closes and t in closes:
-                        links -= sum(x[0] == "a" for x in stack[i:])
-                        del stack[i:]
-                        break
-                    if t in SCOPE:
-                        break
-            if tag not in VOID and not attr.endswith("/"):
-                stack.append((tag, words_of_attributes(attr) if attr.strip() else ()))
-                links += tag == "a"
-                path = tuple(stack)
-            elif tag in BLOCK:
-                path = tuple(stack)
+            stack.end(tag)
+            continue
+        if stack.last("head") >= 0 and tag not in IN_HEAD:
+            stack.close(stack.last("head"))
+        if tag in RAW:
+            close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            at = page.find(">", close.end()) + 1 if close else 0
+            at = at or size
+            continue
+        if tag == "br":
+            if now:
+                now.parts.append(" ")
             continue
         if tag in BLOCK:
-            now = None
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                links -= sum(x[0] == "a" for x in stack[i:])
-                del stack[i:]
-                path = tuple(stack)
-                break
-            if tag not in BLOCK and stack[i][0] in BLOCK:
-                break
+            now = now if stack.states[-1].hidden else None
+            stack.imply(tag)
+        attr = m["attr"]
+        if tag not in VOID and not attr.endswith("/"):
+            stack.push(tag, attr)
     kept = []
     for b in out:
-        if any(t in HIDDEN for t, _ in b.path):
-            continue
         text = "".join(b.parts)
         b.text = _SPACE.sub(" ", html.unescape(text) if "&" in text else text).strip()
         if b.text:
@@ -164,29 +247,22 @@ GROUP = {w: g for g, words in NAMES.items() for w in words}
 NOISE = frozenset([f"group:{g}" for g in NAMES if g != "body"] + [f"in:{t}" for t in "nav aside footer form button label menu".split()] + ["hidden"])
 
 
-def path_features(path: tuple) -> list[str]:
-    out = set()
-    for tag, words in path:
-        out.add(f"in:{tag}")
-        for w in words:
-            if w == "hidden":
-                out.add("hidden")
-            elif w in GROUP:
-                out |= {f"group:{GROUP[w]}", f"word:{w}"}
-    inner = [t for t, _ in path if t in BLOCK]
-    out.add(f"leaf:{inner[-1] if inner else ''}")
-    if inner and inner[-1] in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        out.add("heading")
-    tags = [t for t, _ in path]
-    if "article" in tags or "main" in tags:
-        out.add("inside")
-        if "header" in tags and tags.index("header") > min(tags.index(t) for t in ("article", "main") if t in tags):
+def path_features(state: State) -> list[str]:
+    if state.features is None:
+        out = set(state.marks)
+        out.add(f"leaf:{state.leaf}")
+        if state.leaf in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            out.add("heading")
+        if state.main:
+            out.add("inside")
+        if state.inner:
             out.add("inner header")
-    elif "header" in tags:
-        out.add("outer header")
-    noise = bool(out & NOISE) or "header" in tags and "inner header" not in out
-    out.add(f"noise:{noise} inside:{'inside' in out} body:{'group:body' in out}")
-    return sorted(out)
+        elif state.header and not state.main:
+            out.add("outer header")
+        noise = bool(out & NOISE) or state.header and not state.inner
+        out.add(f"noise:{noise} inside:{state.main} body:{'group:body' in out}")
+        state.features = sorted(out)
+    return state.features
 
 
 def text_features(b: Block, i: int, n: int) -> list[str]:
@@ -290,15 +366,14 @@ class Chain:
 
     def __init__(self, weights: dict[str, float], trans: np.ndarray, start: np.ndarray):
         self.w, self.trans, self.start = weights, trans, start
-        self.paths: dict[tuple, float] = {}
-        self.texts: dict[str, float] = {}
+        self.paths: dict[State, float] = {}
 
     def emit(self, b: Block, i: int, n: int) -> float:
-        p = self.paths.get(b.path)
+        p = self.paths.get(b.state)
         if p is None:
             if len(self.paths) > 20_000:
                 self.paths.clear()
-            p = self.paths[b.path] = sum(self.w.get(f, 0.0) for f in path_features(b.path))
+            p = self.paths[b.state] = sum(self.w.get(f, 0.0) for f in path_features(b.state))
         return p + sum(self.w.get(f, 0.0) for f in text_features(b, i, n))
 
     def decode(self, blocks: list[Block]) -> list[bool]:
@@ -333,7 +408,7 @@ def train(pages: int = 1000, rounds: int = 250, seed: int = 8) -> Chain:
         for i, b in enumerate(d):
             lab[k, i], live[k, i] = _MARK in b.text, 1
             b.text = b.text.replace(_MARK, "") or "x"
-            for f in [*path_features(b.path), *text_features(b, i, len(d))]:
+            for f in [*path_features(b.state), *text_features(b, i, len(d))]:
                 rows.append(k * long + i)
                 cols.append(index.setdefault(f, len(index)))
     rows, cols = np.array(rows), np.array(cols)

@@ -56,6 +56,74 @@ def test_odd_markup(chain):
     assert [b.text for b in H.blocks_of("<p>whole</p><p>cut <b")] == ["whole", "cut"]
 
 
+def test_what_is_not_shown(chain):
+    page = (
+        "<article><p><math><mi>x</mi></math> is a number of sorts.</p><p>One <noscript>no</noscript><span style='display: none'>hid</span>"
+        "<svg><text>svg</text></svg>two <select><option>a<option>b</select>three words.</p><!--><p>After the comment here.</p><p hidden>Gone.</p></article>"
+    )
+    assert H.main_text(page, chain) == "x is a number of sorts.\nOne two three words.\nAfter the comment here."
+    assert H.main_text("<html><head><title>t</title><meta name=x><body><article><p>No end tag of the head here.</p></article>", chain) == "No end tag of the head here."
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 40_000, "<b>x<p>y</p>" * 8000, "<div>" * 200_000 + "x", "<div>x" * 20_000 + "</p>" * 20_000, "<p " + "a" * 200_000 + ">x", "<script>" + "</script " * 20_000, "".join(f"<a{i}>" for i in range(20_000)) + "x", "<p class='ad " + "q" * 100_000 + "'>x", "<select>" * 20_000 + "x", "<!--" * 50_000, "&" * 100_000])
+def test_linear_in_the_page(chain, page):
+    """Deep nesting and long runs cost time and memory in proportion."""
+    import time
+    import tracemalloc
+
+    began = time.thread_time()
+    H.main_text(page, chain)
+    assert time.thread_time() - began < 5
+    tracemalloc.start()
+    H.blocks_of(page[: len(page) // 2])
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def brute_labels(page):
+    """Blocks by the standard library's parser, on well-formed pages: marks tell content."""
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.parts, self.out, self.skip = [], [], 0
+
+        def flush(self):
+            t = " ".join("".join(self.parts).split())
+            if H._MARK in t:
+                self.out.append(t.replace(H._MARK, ""))
+            self.parts = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in H.BLOCK:
+                self.flush()
+            if tag == "br":
+                self.parts.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in H.BLOCK:
+                self.flush()
+
+        def handle_data(self, data):
+            self.parts.append(data)
+
+    p = P()
+    p.feed(page)
+    p.close()
+    p.flush()
+    return "\n".join(p.out)
+
+
+def test_held_out_texts(chain):
+    """Whole texts of held-out pages against another parser and the generator's own labels."""
+    r, same = Random(77), 0
+    for _ in range(200):
+        page = H.labelled_page(r)
+        same += H.main_text(page.replace(H._MARK, ""), chain) == brute_labels(page)
+    assert same >= 190
+
+
 def test_frame(spark, chain):
     long = "<article>" + "<p>words of a long page, told at length.</p>" * 20_000 + "</article>"
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", long), (None, "u", "<article><p>Some words here.</p></article>")]
