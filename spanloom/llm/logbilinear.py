@@ -13,13 +13,18 @@ matrices C1 and C2, target vectors Q and biases b,
 
     s(w | u, v) = (R[v] C1 + R[u] C2) . Q[w] + b[w].
 
-Training uses ``n_triples`` class triples drawn by hash from all training
-documents (a documented bound), noise from the unigram classes of all of them.
+Training runs over all training tokens, in rounds over disjoint slices of the documents
+that grow from a sixteenth to a half (``SLICES``): in a round every partition goes on from
+the same parameters by stochastic gradient steps on its own tokens, with noise from the
+unigram classes of all of them, and the partitions' parameters are averaged by their
+tokens, in a shuffle. What is learnt from thus grows with the corpus; a small one is gone
+over several times, until ``LEAST_TOKENS`` tokens or ``MOST_EPOCHS``.
 Scores are exactly normalised: the sums over w for all pairs (u, v) are one
 matrix product exp(G1 + b) exp(G2)^T, G1 and G2 being the products of the context
 and target matrices.
 
-Counts of the ``n_frequent`` commonest words go to every task (a fixed bound);
+The number of classes is fixed, as the table of normalisers has its square. Counts of the
+``n_frequent`` commonest words go to every task (a fixed bound), and that of the end mark;
 rarer words meet their counts in a shuffled join on a 64-bit hash, pre-aggregated
 by document, so no word's rows can fill a task.
 
@@ -29,6 +34,7 @@ kept; a null id counts as training. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import copy
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -42,11 +48,14 @@ from pyspark.sql import types as T
 
 from .common import crc_of, cut, ids_of, small_batches, texts_of
 
-N_WORDS = 768
-N_TAILS = 256
-N_FREQUENT = 1 << 16
-N_TRIPLES = 1_000_000
+N_WORDS = 1536
+N_TAILS = 512
+N_FREQUENT = 1 << 17
 DIM = 24
+#: Sixteenths of the documents that the rounds of an epoch take.
+SLICES = ((0, 1), (1, 4), (4, 8), (8, 16))
+LEAST_TOKENS, MOST_EPOCHS = 2_000_000, 6
+BATCH, NOISE, RATE = 2048, 48, 0.1
 END = b"\n"
 #: Words held by a worker's lookup before it starts afresh.
 MEMO = 200_000
@@ -100,14 +109,13 @@ class Lookup(dict):
 
     def __init__(self, hashes: np.ndarray):
         super().__init__()
-        self.hashes, self.n, self.rare, self.tails = hashes, len(hashes), [], []
+        self.place = dict(zip(hashes.tolist(), range(len(hashes))))
+        self.n, self.rare, self.tails = len(hashes), [], []
 
     def __missing__(self, word: bytes) -> int:
         h = word_hash(word)
-        i = int(np.searchsorted(self.hashes, h))
-        if i < self.n and self.hashes[i] == h:
-            code = i
-        else:
+        code = self.place.get(h)
+        if code is None:
             code = self.n + len(self.rare)
             self.rare.append(h)
             self.tails.append(tail_class(word))
@@ -140,88 +148,138 @@ def contexts(cls: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     return padded[:-2], padded[1:-1]
 
 
-def sample_triples(docs: DataFrame, hashes: np.ndarray, frequent_class: np.ndarray, n_words: int, end: int, rate: float) -> np.ndarray:
-    """Class triples of training tokens, each kept by a hash of its document and place."""
-    held = docs.sparkSession.sparkContext.broadcast((hashes, frequent_class))
-    limit = np.uint64(min(1.0, rate) * (2**32 - 1))
+class Trainer:
+    """R, C1, C2 and Q, whose last column is b, fitted by noise-contrastive estimation with Adagrad."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, frequent_class = held.value
-        look = Lookup(hashes)
-        for b in batches:
-            found = []
-            ids = ids_of(b)
-            for i, t, use in zip(ids, texts_of(b), train_rows(ids)):
-                if not use:
-                    continue
-                seed = np.uint64(xxhash.xxh64_intdigest(str(i).encode(), 11))
-                words = tokens(t)
-                mixed = (np.arange(len(words), dtype=np.uint64) + seed) * np.uint64(0x9E3779B97F4A7C15)
-                mixed ^= mixed >> np.uint64(29)
-                mixed *= np.uint64(0xBF58476D1CE4E5B9)
-                at = np.nonzero((mixed >> np.uint64(32)) <= limit)[0]
-                if not len(at):
-                    continue
-                places = (at[:, None] + np.array([-2, -1, 0])).ravel()
-                c = classes(look.codes([words[p] if p >= 0 else END for p in places.tolist()]), look, frequent_class, n_words).reshape(-1, 3)
-                found.append(c[:, 0] << 40 | c[:, 1] << 20 | c[:, 2])
-                look.fresh()
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64())], ["t"])
-
-    rows = docs.select("doc_id", "text").mapInArrow(run, "t long").toArrow().column("t").to_numpy().astype(np.int64)
-    rows.sort()
-    return np.stack([rows >> 40, rows >> 20 & 0xFFFFF, rows & 0xFFFFF], axis=1)
+    KEYS = ("R", "C1", "C2", "Q")
 
+    def __init__(self, unigram: np.ndarray, dim: int = DIM, seed: int = 5):
+        rng = np.random.default_rng(seed)
+        n = len(unigram)
+        p = {"R": rng.normal(0, 0.1, (n, dim)), "C1": np.eye(dim), "C2": np.eye(dim) * 0.3, "Q": np.column_stack([rng.normal(0, 0.1, (n, dim)), np.log(unigram)])}
+        self.p = {k: p[k].astype(np.float32) for k in self.KEYS}
+        self.g2 = {k: np.full_like(v, 1e-3) for k, v in self.p.items()}
+        self.unigram = unigram
 
-def train_nce(triples: np.ndarray, unigram: np.ndarray, dim: int = DIM, epochs: int = 4, batch: int = 2048, noise: int = 256, rate: float = 0.1, seed: int = 5) -> dict[str, np.ndarray]:
-    """Fit R, C1, C2, Q, b by noise-contrastive estimation with Adagrad."""
-    rng = np.random.default_rng(seed)
-    n = len(unigram)
-    p = {"R": rng.normal(0, 0.1, (n, dim)), "C1": np.eye(dim), "C2": np.eye(dim) * 0.3, "Q": rng.normal(0, 0.1, (n, dim)), "b": np.log(unigram)}
-    p = {k: v.astype(np.float32) for k, v in p.items()}
-    g2 = {k: np.full_like(v, 1e-3) for k, v in p.items()}
-    log_noise = np.log(unigram * noise).astype(np.float32)
-    cum = np.cumsum(unigram)
+    def start(self, seed: int) -> None:
+        self.rng = np.random.default_rng(seed)
+        self.log_noise = np.log(self.unigram * NOISE).astype(np.float32)
+        self.cum = np.cumsum(self.unigram)
 
-    def step(k: str, rows, grad: np.ndarray) -> None:
+    def step(self, k: str, rows: np.ndarray | None, grad: np.ndarray) -> None:
+        p, g2 = self.p[k], self.g2[k]
         if rows is None:
-            g2[k] += grad**2
-            p[k] -= rate * grad / np.sqrt(g2[k])
-        else:
-            order = np.argsort(rows, kind="stable")
-            first = np.nonzero(np.diff(rows[order], prepend=-1))[0]
-            summed = np.add.reduceat(grad[order], first, axis=0)
-            at = rows[order][first]
-            g2[k][at] += summed**2
-            p[k][at] -= rate * summed / np.sqrt(g2[k][at])
-
-    for _ in range(epochs if len(triples) else 0):
-        for lot in np.array_split(rng.permutation(len(triples)), max(1, len(triples) // batch)):
-            u, v, w = triples[lot].T
-            z = np.minimum(np.searchsorted(cum, rng.random(noise)), n - 1)
-            ru, rv = p["R"][u], p["R"][v]
-            h = rv @ p["C1"] + ru @ p["C2"]
-            qw, qz = p["Q"][w], p["Q"][z]
-            s_pos = np.einsum("ij,ij->i", h, qw) + p["b"][w] - log_noise[w]
-            s_neg = h @ qz.T + (p["b"][z] - log_noise[z])
-            m = np.float32(len(lot))
-            d_pos = -1 / (1 + np.exp(np.clip(s_pos, -30, 30))) / m
-            d_neg = 1 / (1 + np.exp(np.clip(-s_neg, -30, 30))) / m
-            dh = d_pos[:, None] * qw + d_neg @ qz
-            step("Q", np.concatenate([w, z]), np.concatenate([d_pos[:, None] * h, d_neg.T @ h]))
-            step("b", np.concatenate([w, z]), np.concatenate([d_pos, d_neg.sum(axis=0)]))
-            d1, d2 = rv.T @ dh, ru.T @ dh
-            step("R", np.concatenate([u, v]), np.concatenate([dh @ p["C2"].T, dh @ p["C1"].T]))
-            step("C1", None, d1)
-            step("C2", None, d2)
-    return p
+            g2 += grad**2
+            p -= RATE * grad / np.sqrt(g2)
+            return
+        width = p.shape[1]
+        summed = np.zeros(p.size, p.dtype)
+        np.add.at(summed, ((rows * width)[:, None] + np.arange(width)).ravel(), grad.ravel())
+        summed = summed.reshape(p.shape)
+        g2 += summed * summed
+        p -= RATE * summed / np.sqrt(g2)
+
+    def learn(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
+        """One step on tokens of classes w after u and v."""
+        p, m = self.p, len(w)
+        z = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), len(self.cum) - 1)
+        # the biases are the targets' last column
+        ru, rv, qw, qz = (p[k].take(at, axis=0) for k, at in (("R", u), ("R", v), ("Q", w), ("Q", z)))
+        h = np.ones((m, qw.shape[1]), qw.dtype)
+        h[:, :-1] = rv @ p["C1"] + ru @ p["C2"]
+        s_pos = (h * qw).sum(axis=1) - self.log_noise[w]
+        s_neg = h @ qz.T - self.log_noise[z]
+        d_pos = (-1 / m) / (1 + np.exp(np.minimum(s_pos, 30)))
+        d_neg = (1 / m) / (1 + np.exp(np.minimum(-s_neg, 30)))
+        dh = (d_pos[:, None] * qw + d_neg @ qz)[:, :-1]
+        r1, r2, d1, d2 = dh @ p["C1"].T, dh @ p["C2"].T, rv.T @ dh, ru.T @ dh
+        self.step("Q", np.concatenate([w, z]), np.concatenate([d_pos[:, None] * h, d_neg.T @ h]))
+        self.step("R", np.concatenate([v, u]), np.concatenate([r1, r2]))
+        self.step("C1", None, d1)
+        self.step("C2", None, d2)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for held in (self.p, self.g2) for x in (held[k] for k in self.KEYS)])
+
+    def load(self, flat: np.ndarray) -> None:
+        at = 0
+        for held in (self.p, self.g2):
+            for k in self.KEYS:
+                n = held[k].size
+                held[k] = flat[at : at + n].astype(np.float32).reshape(held[k].shape)
+                at += n
+
+
+#: Numbers in a piece of the parameters that partitions send to be averaged.
+PIECE = 1 << 14
+
+
+def averaged(pieces: DataFrame) -> np.ndarray:
+    """Mean of the partitions' parameters, weighted by tokens; summed in the tasks of a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for b in batches:
+            for k, n, x in zip(*(ids_of(b, c) for c in ("piece", "n", "x"))):
+                held = total.setdefault(k, [0.0, 0.0])
+                held[0] += n
+                held[1] = held[1] + n * np.frombuffer(x, np.float32).astype(np.float64)
+        keys = sorted(total)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([(total[k][1] / total[k][0]).astype(np.float32).tobytes() for k in keys], pa.binary())], ["piece", "x"])
+
+    got = pieces.repartition("piece").mapInArrow(run, "piece int, x binary").toArrow().to_pydict()
+    return np.concatenate([np.frombuffer(x, np.float32) for _, x in sorted(zip(got["piece"], got["x"]))]) if got["x"] else np.zeros(0, np.float32)
+
+
+def train(docs: DataFrame, hashes: np.ndarray, frequent_class: np.ndarray, n_words: int, end: int, unigram: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """Parameters learnt from all training tokens; see the module."""
+    spark = docs.sparkSession
+    model = Trainer(unigram)
+    words = spark.sparkContext.broadcast((hashes, frequent_class))
+    rest = F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)), F.lit(5))
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(16))
+    epochs = max(1, min(MOST_EPOCHS, -(-LEAST_TOKENS // max(n, 1)))) if n else 0
+    for turn, (low, high) in enumerate(SLICES * epochs):
+        held = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, turn=turn) -> Iterator[pa.RecordBatch]:
+            hashes, frequent_class = words.value
+            look, mine, n, left = Lookup(hashes), copy.deepcopy(held.value), 0, []
+            for b in batches:
+                if not n:
+                    mine.start(int(crc_of(ids_of(b))[0]) + turn if b.num_rows else turn)
+                for t in texts_of(b):
+                    cls = classes(look.codes(tokens(t)), look, frequent_class, n_words)
+                    left.append(np.stack([*contexts(cls, end), cls]))
+                    look.fresh()
+                every = np.concatenate(left, axis=1) if left else np.zeros((3, 0), np.int64)
+                # tokens of one text are dealt over the steps
+                every = every[:, mine.rng.permutation(every.shape[1])]
+                full = every.shape[1] // BATCH * BATCH
+                for k in range(0, full, BATCH):
+                    mine.learn(*every[:, k : k + BATCH])
+                n += full
+                left = [every[:, full:]]
+            if left and left[0].shape[1]:
+                mine.learn(*left[0])
+                n += left[0].shape[1]
+            if n:
+                flat = mine.flat()
+                parts = [flat[k : k + PIECE].tobytes() for k in range(0, len(flat), PIECE)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["piece", "n", "x"])
+
+        some = docs.where((rest != 1) & (place >= low) & (place < high)).select("doc_id", "text")
+        flat = averaged(some.mapInArrow(run, "piece int, n long, x binary"))
+        if len(flat):
+            model.load(flat)
+        held.unpersist()
+    return model.p
 
 
 def normalised(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Tables whose sum G1[v, w] + G2[u, w] - log_z[u, v] is the exact natural log-probability."""
-    q = p["Q"].astype(np.float64).T
-    g1 = p["R"].astype(np.float64) @ p["C1"] @ q + p["b"]
+    q = p["Q"][:, :-1].astype(np.float64).T
+    g1 = p["R"].astype(np.float64) @ p["C1"] @ q + p["Q"][:, -1]
     g2 = p["R"].astype(np.float64) @ p["C2"] @ q
     m1, m2 = g1.max(axis=1, keepdims=True), g2.max(axis=1, keepdims=True)
     z = np.exp(g2 - m2) @ np.exp(g1 - m1).T
@@ -247,20 +305,18 @@ def fit(docs: DataFrame) -> tuple[DataFrame, dict]:
     counts = cut(count_tokens(docs))
     whole = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(whole.n or 0), int(whole.v)
-    top = most_frequent(counts, N_FREQUENT).toArrow().to_pandas().sort_values(["c", "h"], ascending=[False, True])
     end_hash = word_hash(END)
-    words = top["h"].to_numpy(np.int64)[:N_WORDS]
+    # the end mark's count, whatever band of counts it falls into
+    ends = counts.where(F.col("h") == F.lit(end_hash)).select("h", "tail", "c").toArrow()
+    top = most_frequent(counts, N_FREQUENT).where(F.col("h") != F.lit(end_hash)).select("h", "tail", "c").toArrow()
+    h, tails, c = (np.concatenate([x.column(k).to_numpy() for x in (top, ends)]) for k in range(3))
+    if not len(ends):  # no training document
+        h, tails, c = np.append(h, end_hash), np.append(tails, 0), np.append(c, 0)
+    order = np.argsort(h)
+    hashes, tails, c = h[order].astype(np.int64), tails[order].astype(np.int64), c[order].astype(np.float64)
+    words = hashes[np.lexsort((hashes, -c))[:N_WORDS]]
     if end_hash not in words:
         words = np.append(words[: N_WORDS - 1], end_hash)
-    order = np.argsort(top["h"].to_numpy(np.int64), kind="stable")
-    hashes = top["h"].to_numpy(np.int64)[order]
-    c = top["c"].to_numpy(np.float64)[order]
-    if end_hash not in hashes:  # no training document
-        at = int(np.searchsorted(hashes, end_hash))
-        hashes, c = np.insert(hashes, at, end_hash), np.insert(c, at, 0.0)
-        tails = np.insert(top["tail"].to_numpy(np.int64)[order], at, 0)
-    else:
-        tails = top["tail"].to_numpy(np.int64)[order]
     size = len(words) + N_TAILS
     frequent_class = len(words) + tails
     frequent_class[np.searchsorted(hashes, words)] = np.arange(len(words))
@@ -275,8 +331,7 @@ def fit(docs: DataFrame) -> tuple[DataFrame, dict]:
     unigram = np.concatenate([word_mass, mass])
     unigram /= unigram.sum()
     end = int(np.nonzero(words == end_hash)[0][0])
-    triples = sample_triples(docs, hashes, frequent_class, len(words), end, N_TRIPLES / max(n, 1))
-    model = normalised(train_nce(triples, unigram)) | {"hashes": hashes, "cls": frequent_class, "base": base, "seen": c > 0, "log_mass": np.log10(mass / denominator), "n_words": len(words), "end": end, "n": n, "denominator": denominator, "size": size}
+    model = normalised(train(docs, hashes, frequent_class, len(words), end, unigram, n)) | {"hashes": hashes, "cls": frequent_class, "base": base, "seen": c > 0, "log_mass": np.log10(mass / denominator), "n_words": len(words), "end": end, "n": n, "denominator": denominator, "size": size}
     return counts, model
 
 

@@ -46,13 +46,68 @@ def test_base_and_model(spark, monkeypatch):
 
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    p = L.train_nce(rng.integers(0, 12, (4000, 3)), np.full(12, 1 / 12), dim=4, epochs=1)
-    m = L.normalised(p)
+    t = L.Trainer(np.full(12, 1 / 12), dim=4)
+    t.start(0)
+    for _ in range(20):
+        t.learn(*rng.integers(0, 12, (3, 200)))
+    m = L.normalised(t.p)
     for u in range(12):
         for v in range(12):
             assert abs(np.exp(m["g1"][v].astype(float) + m["g2"][u] - m["log_z"][u, v]).sum() - 1) < 1e-4
 
 
+def test_gradient_is_that_of_noise_contrastive_estimation(monkeypatch):
+    """One step against a plain evaluation of the objective, by finite differences."""
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(L, "NOISE", 5)
+    t = L.Trainer(rng.dirichlet(np.ones(7)), dim=3)
+    t.p = {k: v.astype(np.float64) for k, v in t.p.items()}
+    u, v, w = rng.integers(0, 7, (3, 9))
+    t.start(3)
+    z = np.minimum(np.searchsorted(t.cum, np.random.default_rng(3).random(5)), 6)
+    sigma = lambda x: 1 / (1 + np.exp(-x))
+
+    def loss(p):
+        h = p["R"][v] @ p["C1"] + p["R"][u] @ p["C2"]
+        q, b = p["Q"][:, :-1], p["Q"][:, -1]
+        pos = (h * q[w]).sum(axis=1) + b[w] - t.log_noise[w]
+        neg = h @ q[z].T + b[z] - t.log_noise[z]
+        return -(np.log(sigma(pos)).sum() + np.log(1 - sigma(neg)).sum()) / len(w)
+
+    seen = {}
+    t.step = lambda k, rows, grad: seen.__setitem__(k, grad if rows is None else np.array([grad[rows == i].sum(axis=0) for i in range(7)]))
+    t.learn(u, v, w)
+    for k in t.KEYS:
+        for at in np.ndindex(t.p[k].shape):
+            p = {x: y.copy() for x, y in t.p.items()}
+            p[k][at] += 1e-5
+            up = loss(p)
+            p[k][at] -= 2e-5
+            assert abs((up - loss(p)) / 2e-5 - seen[k][at]) < 1e-5, (k, at)
+
+
+def test_a_band_wider_than_the_frequent_words(spark, monkeypatch):
+    """Words that all occur once, more than go to every task: the end mark keeps its count."""
+    monkeypatch.setattr(L, "N_FREQUENT", 50)
+    rows = [(2, " ".join(f"w{i}" for i in range(300)))]
+    r = L.score(spark.createDataFrame(rows, "doc_id long, text string")).first()
+    want, n = brute(rows)
+    tokens, known, base = want[2]
+    assert (r.n_tokens, r.n_known, r.train_tokens) == (tokens, known, n) and abs(r.base_score - base) < 1e-6 * abs(base)
+
+
+def test_every_training_token_is_learnt_from(spark, monkeypatch):
+    """The slices of an epoch are all training documents, each once."""
+    assert [x for low, high in L.SLICES for x in range(low, high)] == list(range(16))
+    seen = []
+    whole = L.averaged
+    monkeypatch.setattr(L, "averaged", lambda pieces: seen.append(pieces.where("piece = 0").agg({"n": "sum"}).first()[0] or 0) or whole(pieces))
+    monkeypatch.setattr(L, "LEAST_TOKENS", 1)
+    rows = corpus()
+    L.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sum(seen) == brute(rows)[1]
+
+
 def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "other"), (None, "a")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.n_tokens) for r in L.score(df).collect())
