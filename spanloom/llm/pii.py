@@ -6,13 +6,17 @@ transitions, trained in numpy on generated labelled spans, adds spans in spellin
 that the rules miss (spelled-out addresses, phone numbers without a plus, cards with
 other separators, secrets). Rule spans always stay; an added span never touches one.
 
-Every span holds a digit, an at sign or a spelled-out "at" or "dot" mark. So only the
-surroundings of such marks are tagged, all of them, in overlapping windows; the
-windows' spans are reconciled over the whole text by weighted interval scheduling.
+A span that is added must be plausible for its kind, and every plausible span holds a
+digit or a spelled-out "at" and "dot" around a host name: such a mark is part of what is
+asked of a span (``plausible``), so tagging the surroundings of all marks, in overlapping
+windows, loses nothing that could be returned. Pieces of spans cut by windows are joined,
+and the windows' spans are reconciled over the whole text by weighted interval
+scheduling; of equally long choices the one that ends first stays.
 
 Counts and base_sha256 cover the rule spans; spans lists both. A null text counts as
-empty: no spans. Offsets are code points, end exclusive. Repeated rows are treated
-alike, extra columns ignored, and an empty table gives an empty result.
+empty: no spans. Offsets are code points, end exclusive; texts are read whole, whatever
+their length. Repeated rows are treated alike, null ids kept, extra columns ignored, and
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +43,11 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_MARK = re.compile(r"[0-9@]+|[\[({<] ?(?:at|dot|AT|DOT) ?[\])}>]|(?<=\s)(?:dot|DOT)(?=\s)")
+#: The signs of a spelled-out address: an "at" and a "dot" in brackets or between blanks, or the sign itself.
+_AT = r"(?:\s?@\s?|\s?[\[({<]\s?(?i:at)\s?[\])}>]\s?|\s(?i:at)\s)"
+_DOT = r"(?:\.|\s\.\s|\s?[\[({<]\s?(?i:dot|\.)\s?[\])}>]\s?|\s(?i:dot)\s)"
+_ADDRESS = re.compile(rf"[\w.%+-]+{_AT}[\w-]+(?:{_DOT}[\w-]+)+")
+_MARK = re.compile(rf"[0-9]+|{_AT}[\w-]+{_DOT}[\w-]")
 
 Span = tuple[str, int, int]
 
@@ -134,7 +142,7 @@ def allowed() -> np.ndarray:
 class Tagger:
     """BiLSTM over characters with a linear-chain CRF on top; arrays are (time, batch, ...)."""
 
-    def __init__(self, dim: int = 12, hidden: int = 20, seed: int = 1):
+    def __init__(self, dim: int = 12, hidden: int = 24, seed: int = 1):
         r = np.random.default_rng(seed)
         k = len(TAGS)
         self.h = hidden
@@ -258,7 +266,8 @@ _SYLLABLES = "th er on an re in ti es of and ing ion eau le que aux ée un der s
 
 
 def _word(r: Random) -> str:
-    w = "".join(r.choices(_SYLLABLES, k=r.randint(1, 3)))
+    x = r.random()
+    w = r.choice(_COMMON) if x < 0.3 else _letters(r, 2, 9) if x < 0.4 else "".join(r.choices(_SYLLABLES, k=r.randint(1, 3)))
     x = r.random()
     return w.capitalize() if x < 0.12 else w.upper() if x < 0.15 else w
 
@@ -267,24 +276,41 @@ def _digits(r: Random, n: int) -> str:
     return "".join(r.choices("0123456789", k=n))
 
 
-def _ascii(r: Random) -> str:
-    return "".join(r.choices(_SYLLABLES[:12], k=2))
+#: Common given names, English words and domains, so that training text is not all invented.
+_NAMES = "john mary bob alice anna peter maria james linda sven yuki omar fatima jean luc carlos elena ivan olga kim lee hans greta paul sofia smith jones brown garcia muller rossi".split()
+_COMMON = "the a of to and in is it for on with as was be by at from or an this that are not have you we they he she his her but can will one all their there what so up out if about who get which go me when make like time no just him know take people into year your good some could them see other than then now look only come its over think also back after use two how our work first well way even new want because any these give day most us contact write mail reach please send call office home meeting noon page map line red small point dot".split()
+_TLDS = "com org net io fr de edu gov co es info eu uk".split()
+
+
+def _letters(r: Random, a: int, b: int) -> str:
+    return "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(a, b)))
+
+
+def _label(r: Random) -> str:
+    """A word as names and hosts have them."""
+    return r.choice([lambda: "".join(r.choices(_SYLLABLES[:12], k=r.randint(1, 3))), lambda: r.choice(_NAMES), lambda: _letters(r, 2, 10), lambda: r.choice(_COMMON), lambda: _letters(r, 3, 8) + _digits(r, r.randint(1, 3))])()
 
 
 def _host(r: Random) -> list[str]:
-    return [*([f"mail{r.randint(0, 9)}"] if r.random() < 0.5 else []), _ascii(r) if r.random() < 0.5 else "example", r.choice(["com", "org", "net", "io", "fr", "de"])]
+    return [*([r.choice(["mail", "mx", "news", "www", f"mail{r.randint(0, 9)}", _label(r)])] if r.random() < 0.35 else []), r.choice(["example", _label(r), f"{_label(r)}-{_label(r)}"]), r.choice(_TLDS)]
 
 
 def _personal(r: Random) -> tuple[str, str]:
     """(kind, text) of one labelled span."""
-    kind = r.choices(KINDS, [28, 14, 20, 22, 16])[0]
+    kind = r.choices(KINDS, [34, 14, 18, 20, 16])[0]
     if kind == "email":
-        name = _ascii(r) + r.choice(["", f".{_digits(r, 2)}", f"_{_digits(r, 1)}", "." + r.choice(_SYLLABLES[:9])])
-        at = r.choice(["@", "@", "@", " @ ", " [at] ", " (at) ", "[at]", "(at)", " {at} ", " at "])
-        dot = " dot " if at == " at " else "." if at == "@" or r.random() < 0.4 else r.choice([" dot ", " [dot] ", " (dot) ", "[dot]", "(dot)"])
+        name = _label(r) + r.choice(["", "", "", "", "", f".{_digits(r, 2)}", f"_{_digits(r, 1)}", f".{_label(r)}", f"_{_label(r)}", f"-{_label(r)}", f"+{_letters(r, 2, 6)}"])
+        at = r.choice(["@", "@", " @ ", " [at] ", " (at) ", "[at]", "(at)", " {at} ", "<at>", *[" at "] * 5])
+        dots = [".", " dot ", " dot "] if at == " at " else ["."] if at == "@" else [".", " dot ", " [dot] ", " (dot) ", "[dot]", "(dot)", "{dot}", "[.]"]
+        host = _host(r)
+        text = host[0]
+        dot = r.choice(dots)
+        for k, part in enumerate(host[1:]):  # a plain stop before the last sign, now and then
+            text += ("." if k < len(host) - 2 and r.random() < 0.4 else dot) + part
         if r.random() < 0.1:
-            at, dot = at.upper(), dot.upper()
-        return kind, name + at + dot.join(_host(r))
+            at, text = at.upper(), text.replace("dot", "DOT")
+        name = name.capitalize() if r.random() < 0.15 else name
+        return kind, name + at + text
     if kind == "ip":
         return kind, r.choice([".", ".", "[.]", " . ", "(.)"]).join(str(r.randint(0, 255)) for _ in range(4))
     if kind == "card":
@@ -293,15 +319,19 @@ def _personal(r: Random) -> tuple[str, str]:
     if kind == "phone":
         a, b, c = _digits(r, 3), _digits(r, 3), _digits(r, 4)
         return kind, r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"001 {a} {b} {c}", f"+{_digits(r, 2)} {a} {b} {c}", f"0{a[:2]} {b} {c}", f"({a}) {b} {c}"])
-    body = "".join(r.choices("0123456789abcdef", k=r.choice([32, 40, 40, 24])))
-    key = r.choice(["token", "token", "secret", "api_key", "password"])
-    return kind, f'{key} = "{body}"' if r.random() < 0.7 else f"{key}: {body}"
+    chars = r.choice(["0123456789abcdef", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])
+    body = "".join(r.choices(chars, k=r.choice([16, 20, 24, 32, 36, 40, 40, 48]))) + _digits(r, 1)
+    key = r.choice(["token", "token", "secret", "api_key", "password", "access_key", "apikey", "client_secret", "auth_token"])
+    x = r.random()
+    if x < 0.12:
+        return kind, r.choice(["AKIA", "ghp_", "sk_live_", "xoxb"]) + body
+    return kind, f'{key} = "{body}"' if x < 0.65 else f"{key}: {body}" if x < 0.8 else f"{key}={body}" if x < 0.9 else f"{key} = '{body}'"
 
 
 def _harmless(r: Random) -> str:
     """Marks that are no personal data."""
     n = r.randint
-    return r.choice([str(n(0, 3000)), f"{n(0, 20)}.{n(0, 10)}", f"version {n(1, 9)}.{n(0, 9)}.{n(0, 9)}", f"{n(1900, 2030)}-{n(10, 12)}-{n(10, 28)}", f"{n(1, 100)}%", f"{n(1, 24)}:{n(10, 59)}", f"${n(1, 900)}.{n(10, 99)}", f"CC BY-NC {n(1, 5)}.0.", f"Version {n(1, 4)}.0.", "a dot in", f"{n(1, 99)},{n(100, 999)}", "@ home", f"no. {n(1, 99)}", str(n(10000, 9999999)), f"page {n(1, 999)} of {n(1, 999)}", f"[{n(1, 50)}]", f"§ {n(1, 99)}.{n(1, 9)}", "dot dot", "(at noon)"])
+    return r.choice([str(n(0, 3000)), f"{n(0, 20)}.{n(0, 10)}", f"version {n(1, 9)}.{n(0, 9)}.{n(0, 9)}", f"{n(1900, 2030)}-{n(10, 12)}-{n(10, 28)}", f"{n(1, 100)}%", f"{n(1, 24)}:{n(10, 59)}", f"${n(1, 900)}.{n(10, 99)}", f"CC BY-NC {n(1, 5)}.0.", f"Version {n(1, 4)}.0.", "a dot in", f"{n(1, 99)},{n(100, 999)}", "@ home", f"no. {n(1, 99)}", str(n(10000, 9999999)), f"page {n(1, 999)} of {n(1, 999)}", f"[{n(1, 50)}]", f"§ {n(1, 99)}.{n(1, 9)}", "dot dot", "(at noon)", f"at {r.choice(_COMMON)}", f"look at the {r.choice(_COMMON)} dot on", f"met at {_label(r)}.", f"at {_label(r)}. {_label(r)}", f"{_label(r)}.{r.choice(_TLDS)}", "the dot at the end", f"at {n(1, 12)}.{n(10, 59)}", f"id {_letters(r, 4, 12)}{n(1, 99)}"])
 
 
 def labelled(r: Random, length: int = WINDOW) -> tuple[str, list[Span]]:
@@ -335,7 +365,7 @@ def tagged(s: str, spans: list[Span], lo: int, hi: int) -> tuple[np.ndarray, np.
 
 
 @lru_cache(maxsize=4)
-def train(steps: int = 700, batch: int = 48, seed: int = 3) -> Tagger:
+def train(steps: int = 900, batch: int = 48, seed: int = 3) -> Tagger:
     """Adam on generated windows; deterministic, and done once in a driver process."""
     r = Random(seed)
     model = Tagger()
@@ -396,14 +426,20 @@ def spans_of(tags: np.ndarray, offset: int) -> list[Span]:
     return out
 
 
-_SECRET = re.compile(r"""[A-Za-z_]+ ?[=:] ?["']?[0-9A-Za-z]{16,}["']?""")
+_SECRET = re.compile(r"""[A-Za-z_]+ ?[=:] ?["']?[0-9A-Za-z_]{16,}["']?""")
 
 
 def tightened(s: str, span: Span) -> Span:
-    """A secret runs from its key to the end of its value."""
+    """A secret runs from its key to the end of its value, an address from its name to the end of its host."""
     kind, a, b = span
-    m = _SECRET.search(s, a, b) if kind == "secret" else None
-    return (kind, *m.span()) if m else span
+    if kind == "secret":
+        m = _SECRET.search(s, a, b)
+        return (kind, *m.span()) if m else span
+    if kind == "email" and not _ADDRESS.fullmatch(s, a, b):
+        for m in _ADDRESS.finditer(s, max(0, a - MARGIN), b + MARGIN):
+            if m.start() < b and a < m.end():
+                return (kind, *m.span())
+    return span
 
 
 def plausible(s: str, span: Span) -> bool:
@@ -412,7 +448,7 @@ def plausible(s: str, span: Span) -> bool:
     t = s[a:b]
     digits = sum(c in "0123456789" for c in t)
     if kind == "email":
-        return bool(re.fullmatch(r"[\w.%+-]+(?:@|\s*@\s*|\s*[\[({<]?\s*(?i:at)\s*[\])}>]?\s*)[\w-]+(?:(?:\.|\s*[\[({<]?\s*(?i:dot)\s*[\])}>]?\s*)[\w-]+)+", t))
+        return bool(_ADDRESS.fullmatch(t))
     if kind == "ip":
         parts = re.findall("[0-9]+", t)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
