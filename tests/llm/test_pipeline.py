@@ -67,3 +67,36 @@ def test_run_and_empty(spark, corpus, tmp_path):
     spark.read.parquet(f"{d}/benchmark.parquet").write.parquet(f"{e}/benchmark.parquet")
     assert P.run(spark, e).count() == 0
     assert langid.UND == "und"
+
+
+CLASH = ["score", "prob", "weight", "n_tokens", "mix_topic", "_n_removed", "_o", "rid", "runs", "lang_pred", "component_id", "cosine"]
+
+
+def test_repeated_ids_rows_and_clashing_names(spark, corpus):
+    """Rows of one id and different texts are told apart, equal rows are one, and no user column is touched."""
+    d, rows, bench = corpus
+    a, b, c = (rows[k][1] for k in (30, 31, 32))
+    lang = {x[1]: x[2] for x in rows}
+    odd = [(1, a, lang[a]), (2, a, lang[a]), (2, b, lang[b]), (5, c, lang[c]), (5, c, lang[c]), (5, c, lang[c]), (None, None, "en"), (None, "", None), (7, bench[0][1] + " and more words here", "en")]
+    train = [(1000 + i, t, y) for i, t, y, *_ in rows[:100]]
+    kinds = ", ".join(f"`{n}` int" for n in CLASH)
+    docs = spark.createDataFrame([(i, t, y, "s", len(t or ""), *range(12)) for i, t, y in odd + train], f"doc_id long, text string, lang string, source string, n_chars long, {kinds}")
+    out = P.language_id(spark, docs, d)
+    assert out.columns == docs.columns and out.count() == docs.count() - 2
+    few = spark.createDataFrame(docs.where("doc_id < 1000 or doc_id is null").collect(), docs.schema)
+    out = P.line_dedup(spark, few, d)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert out.columns == docs.columns and got == sorted([(1, a), (2, b), *[(5, c)] * 3, (None, None), (None, ""), (7, odd[-1][1])], key=str)
+    out = P.simhash_dedup(spark, few, d)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    kept_blank = [x for x in got if not x[1]]
+    assert len(kept_blank) == 1 and [x for x in got if x[1]] == sorted([(1, a), (2, b), (5, c), (7, odd[-1][1])], key=str)
+    out = P.decontamination(spark, few, d)
+    assert out.columns == docs.columns and out.count() == few.count() - 1 and 7 not in {r.doc_id for r in out.collect()}
+    out = P.mix(spark, few, d)
+    assert out.columns[: len(docs.columns)] == docs.columns and len({c.lower() for c in out.columns}) == len(docs.columns) + 4
+    for r in out.collect():
+        assert [r[n] for n in CLASH] == list(range(12))
+    empty = docs.limit(0)
+    for _, stage in P.STAGES:
+        assert stage(spark, empty, d).count() == 0
