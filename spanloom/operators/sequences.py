@@ -8,7 +8,9 @@ needs no deep stack.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,21 +30,106 @@ def shared_grams(a: DataFrame, b: DataFrame, a_id: str, b_id: str, tokens: str,
     return grams(a, a_id, "a_pos").join(grams(b, b_id, "b_pos"), "gram")
 
 
+@lru_cache(maxsize=200_000)
+def _fuzzy(a: str, b: str) -> float | None:
+    """Score of two words that may be matched, else null."""
+    s = X.fuzzy_score(a, b)
+    return s if X.fuzzy_accepted(a, b, s) else None
+
+
+@lru_cache(maxsize=200_000)
+def _alike(a: str, b: str, language: str) -> float | None:
+    return X.group_similarity([a], [b], language)
+
+
+@lru_cache(maxsize=100_000)
+def _letters(word: str) -> tuple[str, np.ndarray]:
+    """The spelled word and its letters' counts, in classes."""
+    spelled = "".join(X.spelled(word))
+    return spelled, np.bincount([ord(c) % 32 for c in spelled], minlength=32)
+
+
+def _matches(expected: tuple[str, ...], observed: tuple[str, ...]) -> list[list[tuple[int, float]]]:
+    """For each expected word the observed places that it may match, with scores.
+
+    Two words have at least 0.68 of their letters in common, place apart, or they are not
+    alike; only pairs that pass this bound are compared.
+    """
+    ea, eb = sorted(set(expected)), sorted(set(observed))
+    ca, cb = (np.array([_letters(w)[1] for w in e]) for e in (ea, eb))
+    la, lb = ca.sum(axis=1), cb.sum(axis=1)
+    found: dict[str, dict[str, float]] = {}
+    lot = max(1, (1 << 16) // len(eb))
+    for k in range(0, len(ea), lot):
+        common = np.minimum(ca[k : k + lot, None, :], cb[None]).sum(axis=2)
+        for i, j in zip(*np.nonzero(2 * common >= 0.67 * (la[k : k + lot, None] + lb[None]))):
+            s = _fuzzy(ea[k + i], eb[j])
+            if s is not None:
+                found.setdefault(ea[k + i], {})[eb[j]] = s
+    return [[(j, s) for j, w in enumerate(observed) if (s := held.get(w)) is not None] if (held := found.get(x)) else [] for x in expected]
+
+
+def _before(a: tuple, b: tuple) -> bool:
+    """Whether chain ``a`` is better than ``b``: (matches, likeness, exact ones, first match with what follows)."""
+    if a[0] != b[0]:
+        return a[0] > b[0]
+    x, y = (round(a[1], 6), a[2]), (round(b[1], 6), b[2])
+    if x != y:
+        return x > y
+    p, q, later = a[3], b[3], 0
+    while p is not q:
+        if p[0] != q[0]:
+            return p[0] < q[0]
+        later = later or p[1] - q[1]
+        p, q = p[3], q[3]
+    return later > 0
+
+
 def align_words(expected: list[str], observed: list[str]) -> list[tuple[int, int, float]]:
-    """Monotone fuzzy matches: most of them, then most alike, most exact, earliest expected, latest observed."""
-    n, m = len(expected), len(observed)
-    key = lambda t: (len(t), round(sum(x[2] for x in t), 6), sum(x[2] >= 0.999999 for x in t), tuple(-x[0] for x in t), tuple(x[1] for x in t))
-    below: list[tuple] = [()] * (m + 1)
-    for i in range(n - 1, -1, -1):
-        row: list[tuple] = [()] * (m + 1)
-        for j in range(m - 1, -1, -1):
-            best = max(below[j], row[j + 1], key=key)
-            s = X.fuzzy_score(expected[i], observed[j])
-            if X.fuzzy_accepted(expected[i], observed[j], s):
-                best = max(best, ((i, j, s), *below[j + 1]), key=key)
+    """As ``_aligned``; the last few results are kept for those who ask again."""
+    return list(_aligned(tuple(expected), tuple(observed)))
+
+
+@lru_cache(maxsize=8)
+def _aligned(expected: tuple[str, ...], observed: tuple[str, ...]) -> tuple[tuple[int, int, float], ...]:
+    """Monotone fuzzy matches: most of them, then most alike, most exact, earliest expected, latest observed.
+
+    A cell of the table holds its best chain's figures and a link to its first match, so
+    the work is that of the cells that a match changes.
+    """
+    if not expected or not observed:
+        return ()
+    row = [(0, 0.0, 0, None)] * (len(observed) + 1)
+    places = _matches(expected, observed)
+    for i in range(len(expected) - 1, -1, -1):
+        here = places[i]
+        if not here:
+            continue
+        below, at, carry = row[:], len(here) - 1, None
+        j = here[-1][0]
+        while j >= 0:
+            best = below[j]
+            if carry is not None and _before(carry, best):
+                best = carry
+            if at >= 0 and here[at][0] == j:
+                s, rest = here[at][1], below[j + 1]
+                chain = (rest[0] + 1, rest[1] + s, rest[2] + (s >= 0.999999), (i, j, s, rest[3]))
+                if _before(chain, best):
+                    best = chain
+                at -= 1
+            carry = best if best is not below[j] else None
             row[j] = best
-        below = row
-    return list(below[0]) if n and m else []
+            if carry is None:  # nothing changes before the next match
+                if at < 0:
+                    break
+                j = here[at][0]
+            else:
+                j -= 1
+    out, node = [], row[0][3]
+    while node is not None:
+        out.append(node[:3])
+        node = node[3]
+    return tuple(out)
 
 
 ALIGNED = "array<struct<expected_index: int, expected_word: string, observed_index: int, observed_word: string, score: double>>"
@@ -63,28 +150,54 @@ def ground(canonical: list[str], source: list[str], language: str = "en") -> lis
 
     Both ends are anchored: the first source token can't be skipped, later ones can at
     -0.35 each; groups of unlike sizes cost 0.04. Equal scores keep the option met first:
-    a skip, then smaller canonical groups, then smaller source groups.
+    a skip, then smaller canonical groups, then smaller source groups. Only source places
+    that a cover can have before each canonical token, the earliest to the latest, are
+    gone through.
     """
     n, m = len(canonical), len(source)
+    if not n or not m:
+        return None
+    sizes = [(a, b) for a in (1, 2) for b in (1, 2)]
+
+    def like(i: int, a: int, j: int, b: int) -> float | None:
+        return _alike(canonical[i] if a == 1 else canonical[i] + canonical[i + 1], source[j] if b == 1 else source[j] + source[j + 1], language)
+
+    last = [-1] * n + [m]  # latest place before canonical token i from which the rest can be covered
+    for i in range(n - 1, -1, -1):
+        for a, b in sizes:
+            if i + a > n or last[i + a] < b:
+                continue
+            for j in (m - b,) if i + a == n else range(last[i + a] - b, last[i], -1):
+                if j > last[i] and like(i, a, j, b) is not None:
+                    last[i] = j
+                    break
+    first = [0] + [m + 1] * n  # earliest place after canonical token i - 1
+    for i in range(1, n + 1):
+        for a, b in sizes:
+            if i < a or first[i - a] > m:
+                continue
+            for j in (0,) if i == a else range(first[i - a], min(first[i], m + 1) - b):
+                if j + b <= m and like(i - a, a, j, b) is not None:
+                    first[i] = min(first[i], j + b)
+                    break
     best: dict[tuple[int, int], tuple[float, tuple | None, tuple[int, int] | None]] = {(n, m): (0.0, None, None)}
     for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
+        for j in range(min(last[i], m - 1), first[i] - 1, -1):
             found = None
             if i > 0 and (i, j + 1) in best:
                 found = (best[i, j + 1][0] - 0.35, None, (i, j + 1))
-            for a in (1, 2):
-                for b in (1, 2):
-                    if i + a > n or j + b > m or (i + a, j + b) not in best:
-                        continue
-                    s = X.group_similarity(canonical[i : i + a], source[j : j + b], language)
-                    if s is None:
-                        continue
-                    total = best[i + a, j + b][0] + s * a - 0.04 * abs(a - b)
-                    if found is None or total > found[0]:
-                        found = (total, (i, i + a, j, j + b, s), (i + a, j + b))
+            for a, b in sizes:
+                if i + a > n or j + b > m or (i + a, j + b) not in best:
+                    continue
+                s = like(i, a, j, b)
+                if s is None:
+                    continue
+                total = best[i + a, j + b][0] + s * a - 0.04 * abs(a - b)
+                if found is None or total > found[0]:
+                    found = (total, (i, i + a, j, j + b, s), (i + a, j + b))
             if found:
                 best[i, j] = found
-    if (0, 0) not in best or not n or not m:
+    if (0, 0) not in best:
         return None
     out, at = [], (0, 0)
     while at != (n, m):

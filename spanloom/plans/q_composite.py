@@ -90,7 +90,7 @@ def lookahead_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def _spoken(spark: SparkSession, d: str) -> DataFrame:
     """Turns as timed words: half a second each, a pause of two after every turn."""
-    t = table(spark, d, "conversations").select(F.col("conv_id").alias("rec_id"), "turn", F.posexplode(F.slice(F.split("text", r"\s+"), 1, 60)).alias("i", "text"))
+    t = table(spark, d, "conversations").select(F.col("conv_id").alias("rec_id"), "turn", F.posexplode(F.split("text", r"\s+")).alias("i", "text"))
     w = Window.partitionBy("rec_id").orderBy("turn", "i")
     n = t.select("rec_id", "turn", "text", (F.row_number().over(w) - 1).alias("word_id"))
     return n.select("rec_id", F.col("word_id").cast("long").alias("word_id"), "text", (F.col("word_id") * 0.5 + F.col("turn") * 2.0).alias("start_s"), (F.col("word_id") * 0.5 + F.col("turn") * 2.0 + 0.5).alias("end_s"))
@@ -234,7 +234,7 @@ def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Turns as atoms, and made-up evidence: words heard, every seventh one misspelt, some segments failed or missing."""
     from spanloom.functions.text import ascii_words
 
-    t = table(spark, d, "conversations").select(F.col("conv_id").alias("rec_id"), F.col("turn").alias("atom"), F.slice(ascii_words(F.col("text")), 1, 16).alias("expected"))
+    t = table(spark, d, "conversations").select(F.col("conv_id").alias("rec_id"), F.col("turn").alias("atom"), ascii_words(F.col("text")).alias("expected"))
     heard = F.transform("expected", lambda x, i: F.struct(F.when(i % 7 == 3, F.concat(x, F.lit("z"))).otherwise(x).alias("word"), (i * 0.5).cast("double").alias("start"), (i * 0.5 + 0.4).cast("double").alias("end"), F.lit(0.9).alias("score")))
     seg = t.where("atom % 5 <> 4").select("rec_id", "atom", heard.alias("observed"), F.when(F.col("atom") % 5 == 3, "decoder failed").alias("error"))
     return t, seg

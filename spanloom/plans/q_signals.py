@@ -196,8 +196,8 @@ def safe_numbers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", N.finite_or(text, -1.0).alias("number"), F.round(N.ratio(rate), 6).alias("rate"))
 
 
-@query("""WITH s AS (SELECT vec_id AS rec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings), e AS (SELECT rec_id, list_transform(a, lambda x: exp(x - list_max(a))) AS e FROM s) SELECT rec_id, round(list_max(e) / list_sum(e), 6) AS top, round(e[1] / list_sum(e), 6) AS head FROM e""")
+@query("""WITH s AS (SELECT vec_id AS rec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings), e AS (SELECT rec_id, list_transform(a, lambda x: exp(x - list_max(a))) AS e FROM s) SELECT rec_id, round(list_max(e) / list_sum(e), 6) AS top, round(e[1] / list_sum(e), 6) AS head FROM e""")
 def emission_softmax(spark: SparkSession, d: str) -> DataFrame:
     """Emission rows as probabilities."""
-    p = signals(spark, d).select("rec_id", N.softmax(F.slice("samples", 1, 8)).alias("p"))
+    p = signals(spark, d).select("rec_id", N.softmax(F.col("samples")).alias("p"))
     return p.select("rec_id", F.round(F.array_max("p"), 6).alias("top"), F.round(F.get("p", F.lit(0)), 6).alias("head"))

@@ -134,11 +134,11 @@ def redacted_urls(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", X.redacted_url(F.col("url")).alias("endpoint"))
 
 
-@query("SELECT rec, t, len(list_filter(range(3, CAST(len(l) // 2 + 1 AS BIGINT)), lambda w: l[len(l) - w + 1:len(l)] = l[len(l) - 2 * w + 1:len(l) - w])) > 0 AS repeats FROM (SELECT conv_id AS rec, turn AS t, string_split(text, ' ')[1:8] || string_split(text, ' ')[5:8] AS l FROM conversations)")
+@query("SELECT rec, t, len(list_filter(range(3, CAST(len(l) // 2 + 1 AS BIGINT)), lambda w: l[len(l) - w + 1:len(l)] = l[len(l) - 2 * w + 1:len(l) - w])) > 0 AS repeats FROM (SELECT conv_id AS rec, turn AS t, string_split(text, ' ') || CASE WHEN turn % 2 = 1 THEN string_split(text, ' ')[-4:] ELSE [] END AS l FROM conversations)")
 def repeated_suffix(spark: SparkSession, d: str) -> DataFrame:
-    """Token lists whose end repeats what stands before it, over any width of three or more."""
+    """Whole turns, every other one with its last four words said again, whose end repeats what stands before it, over any width of three or more."""
     base = F.split("text", " ", -1)
-    t = table(spark, d, "conversations").select(F.col("conv_id").alias("rec"), F.col("turn").alias("t"), F.concat(F.slice(base, 1, 8), F.slice(base, 5, 4)).alias("l"))
+    t = table(spark, d, "conversations").select(F.col("conv_id").alias("rec"), F.col("turn").alias("t"), F.when(F.col("turn") % 2 == 1, F.concat(base, F.slice(base, -F.least(F.lit(4), F.size(base)), 4))).otherwise(base).alias("l"))
     n = F.size("l")
     widths = F.when(n >= 6, F.sequence(F.lit(3), F.floor(n / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
     same = F.exists(widths, lambda w: F.slice("l", n - w + 1, w) == F.slice("l", n - 2 * w + 1, w))
@@ -167,12 +167,12 @@ def fuzzy_word_pairs(spark: SparkSession, d: str) -> DataFrame:
 def _turn_pairs(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = table(spark, d, "conversations").select("conv_id", "turn", X.ascii_words(F.col("text")).alias("a"))
-    return t.withColumn("b", F.lead("a").over(w)).where("b is not null").withColumn("a", F.slice("a", 1, 24)).withColumn("b", F.slice("b", 1, 24))
+    return t.withColumn("b", F.lead("a").over(w)).where("b is not null")
 
 
 @query()
 def align_dp(spark: SparkSession, d: str) -> DataFrame:
-    """I8: fuzzy monotone alignment of neighbouring turns' openings."""
+    """I8: fuzzy monotone alignment of neighbouring turns."""
     out = _turn_pairs(spark, d).select("conv_id", "turn", S.align_udf()("a", "b").alias("m"))
     return out.select("conv_id", "turn", F.size("m").alias("matches"), F.round(F.aggregate("m", F.lit(0.0), lambda s, x: s + x["score"]), 6).alias("similarity"))
 
@@ -180,7 +180,7 @@ def align_dp(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def grounding_dp(spark: SparkSession, d: str) -> DataFrame:
     """Support of canonical tokens by a range's source tokens; every third source token is doubled."""
-    t = table(spark, d, "conversations").select("conv_id", "turn", F.slice(X.tokens_udf()("text"), 1, 20).alias("a")).where("size(a) > 0")
+    t = table(spark, d, "conversations").select("conv_id", "turn", X.tokens_udf()("text").alias("a")).where("size(a) > 0")
     noisy = F.flatten(F.transform("a", lambda x, i: F.when(i % 3 == 2, F.array(x, x)).otherwise(F.array(x))))
-    out = t.withColumn("b", F.when(F.col("turn") % 4 == 3, F.slice("a", 2, 20)).otherwise(noisy)).withColumn("g", S.ground_udf()("a", "b"))
+    out = t.withColumn("b", F.when(F.col("turn") % 4 == 3, F.slice("a", F.lit(2), F.size("a"))).otherwise(noisy)).withColumn("g", S.ground_udf()("a", "b"))
     return out.select("conv_id", "turn", "g.*")
