@@ -185,7 +185,7 @@ class Plan:
 
 def unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """(goal, row, lang, topic, tokens) of sources with their cells."""
-    sizes = pa.compute.list_value_length(b.column("l")).to_numpy()
+    sizes = np.diff(b.column("l").offsets.to_numpy())
     flat = [b.column(c).flatten().to_numpy() for c in ("l", "t", "n")]
     return b.column("goal").to_numpy(), np.repeat(np.arange(b.num_rows), sizes), *flat
 
