@@ -71,12 +71,35 @@ def subtract(a: DataFrame, b: DataFrame, keys: list[str], ident: str) -> DataFra
 
 
 def segment_with_reasons(a: DataFrame, b: DataFrame, keys: list[str], ident: str, reason: str) -> DataFrame:
-    """A cut at every edge of B, each piece with the sorted distinct reasons that cover it (empty: a candidate)."""
-    b = b.where("st < en")
-    parts = pieces(a, b, keys, ident)
-    hits = overlap_join(parts, b.select(*keys, "st", "en", reason), keys, carry=[reason])
-    found = hits.groupBy(*keys, ident, "st", "en").agg(F.array_sort(F.collect_set(reason)).alias("reasons"))
-    return parts.join(found, [*keys, ident, "st", "en"], "left").withColumn("reasons", F.coalesce("reasons", F.array().cast("array<string>")))
+    """A cut at every edge of B, each piece with the sorted distinct reasons that cover it (empty: a candidate).
+
+    B's edges number the stretches between them, 0 being what lies before the first. One
+    ordered stream per key tells the stretches that a row of A touches and those that a
+    reason covers; they meet by number, so each row of the join is one row of the result.
+    That join is a merge join, as Spark's estimate doesn't see how rows multiply.
+    """
+    a, b = a.where("st < en"), b.where("st < en").dropna(subset=keys)
+    place = lambda at, kind, n: F.struct(F.col(at).alias("at"), F.lit(kind).alias("kind"), F.lit(n).alias("n"))
+    # at equal places A's ends come first and its starts last: an edge there doesn't cut it
+    theirs = b.select(*keys, F.lit(None).cast(a.schema[ident].dataType).alias(ident), F.lit(None).cast("long").alias("st"), F.lit(None).cast("long").alias("en"), F.col(reason).alias("_reason"), F.inline(F.array(place("st", 1, 1), place("en", 1, -1))))
+    ours = a.select(*keys, ident, "st", "en", F.lit(None).cast(b.schema[reason].dataType).alias("_reason"), F.inline(F.array(place("en", 0, 0), place("st", 2, 0))))
+    w = _order(keys, "at", "kind")
+    again = (F.lag("kind").over(w) == 1) & (F.lag("at").over(w) == F.col("at"))
+    new = F.when((F.col("kind") == 1) & ~F.coalesce(again, F.lit(False)), 1).otherwise(0)
+    stream = theirs.unionByName(ours).withColumn("_new", new).withColumn("_k", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = stream.where("kind = 1")
+    by_reason = _order([*keys, "_reason"], "_k")
+    held = edges.where("_reason is not null").groupBy(*keys, "_reason", "_k").agg(F.sum("n").alias("n"))
+    held = held.withColumn("_open", F.sum("n").over(by_reason.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_to", F.lead("_k").over(by_reason)).where("_open > 0")
+    held = held.select(*keys, F.explode(F.sequence(F.col("_k"), F.col("_to") - 1)).alias("_k"), F.lit(None).cast("long").alias("at"), "_reason")
+    stretches = edges.select(*keys, "_k", "at", F.lit(None).cast(b.schema[reason].dataType).alias("_reason")).unionByName(held)
+    stretches = stretches.groupBy(*keys, "_k").agg(F.max("at").alias("_st"), F.array_sort(F.collect_set("_reason")).alias("reasons")).withColumn("_en", F.lead("_st").over(_order(keys, "_k")))
+    # the stretch before the first edge has no row; its pieces begin and end with A or the edge
+    first = stretches.where("_k = 1").select(*keys, F.lit(0).cast("long").alias("_k"), F.lit(None).cast("long").alias("_st"), F.array().cast(stretches.schema["reasons"].dataType).alias("reasons"), F.col("_st").alias("_en"))
+    touched = stream.where("kind <> 1").groupBy(*keys, ident, "st", "en").agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
+    touched = touched.select(*keys, ident, "st", "en", F.explode(F.sequence("_lo", "_hi")).alias("_k"))
+    found = touched.join(stretches.unionByName(first).hint("merge"), [*keys, "_k"], "left")
+    return found.select(*keys, ident, F.greatest("st", "_st").alias("st"), F.least("en", "_en").alias("en"), F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))
 
 
 def split_long(df: DataFrame, longest: int, overlap: int) -> DataFrame:

@@ -62,6 +62,24 @@ def test_segments_are_not_joined_again(spark):
     assert got == [(0, 2, []), (2, 5, ["x"]), (5, 6, ["x"]), (6, 7, ["x", "y"]), (7, 10, [])]
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_segments_against_brute_force_without_broadcast(spark, seed):
+    r = Random(seed)
+    rows, a = make(spark, r, 10)
+    other, _ = make(spark, r, 10, keys=4)
+    why = [r.choice(["x", "y", None]) for _ in other]
+    other = [(*x[:1], *x[2:], y) for x, y in zip(other, why)]
+    out = I.segment_with_reasons(a, spark.createDataFrame(other, "rec int, st long, en long, why string"), KEYS, "id", "why")
+    want = []
+    for k, i, s, e in rows:
+        mine = [x for x in other if x[0] == k and x[1] < x[2]]
+        cuts = sorted({s, e} | {c for x in mine for c in x[1:3] if s < c < e})
+        want += [(k, i, p, q, sorted({x[3] for x in mine if x[1] < q and p < x[2] and x[3]})) for p, q in zip(cuts, cuts[1:])]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    # rows multiply unseen by Spark's estimate, so no side may be sent to the driver
+    assert "Broadcast" not in out._jdf.queryExecution().toString()
+
+
 def test_nearest_prefers_the_earlier(spark):
     p = spark.createDataFrame([(0, 5), (0, 0), (0, 99), (1, 3)], "rec int, x long")
     t = spark.createDataFrame([(0, 3), (0, 7), (0, 50)], "rec int, q long")
