@@ -51,6 +51,8 @@ TOPICS = 8
 CLOSE = 1e-6
 #: Passes after which contradicting targets are given up.
 PASSES = 60
+#: Cells that a task of a pass has at least, so that a pass costs what its cells do, however many partitions shuffles have.
+TASK_CELLS = 50_000
 #: Factor of a language or topic that is drawn whole.
 WHOLE = 1e9
 #: Bytes of the sources' factors up to which they are sent to every task instead of being joined by a shuffle.
@@ -195,7 +197,9 @@ def plan(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, ra
     spark = docs.sparkSession
     targets = targets or {}
     cells = cut(cells_of(docs))
-    labels = {a: {r[a]: float(r.m) for r in cells.groupBy(a).agg(F.sum("n_tokens").alias("m")).orderBy(a).collect()} for a in ("lang", "topic")}
+    sums = {a: cells.groupBy(a).agg(F.sum("n_tokens").alias("m"), F.count("*").alias("n")).orderBy(a).collect() for a in ("lang", "topic")}
+    labels = {a: {r[a]: float(r.m) for r in rows} for a, rows in sums.items()}
+    tasks = max(1, -(-sum(r.n for r in sums["lang"]) // TASK_CELLS))
     total = float(sum(labels["lang"].values()))
     if not total or rate >= 1:
         ones = cells.select("source").distinct().select("source", F.lit(1.0).alias("f"), F.lit(0.0).alias("goal"), F.lit(0.0).alias("have"))
@@ -212,7 +216,7 @@ def plan(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, ra
         index = spark.createDataFrame(list(zip(names[a], range(len(names[a])))), f"{a} string, {a}_at int")
         cells = cells.join(index, a)
     rows = cells.groupBy("source").agg(F.sum("n_tokens").alias("have"), F.collect_list("lang_at").alias("l"), F.collect_list("topic_at").alias("t"), F.collect_list("n_tokens").alias("n"))
-    sources = cut(source_goals(rows, targets.get("source"), total, rate))
+    sources = cut(source_goals(rows, targets.get("source"), total, rate).coalesce(tasks))
 
     def marginals() -> tuple[dict[str, np.ndarray], float]:
         """Expected tokens by language and topic, and the greatest error of a source, each source having its best factor."""

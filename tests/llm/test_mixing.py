@@ -116,3 +116,20 @@ def test_draws_are_even_and_empty_table(spark):
     assert {x.prob for x in M.weigh(blank).collect()} == {1.0}
     part = blank.unionByName(spark.createDataFrame([(3, "some words", "en", "t")], blank.schema))
     assert all(0 <= x.prob <= 1 for x in M.weigh(part).collect())
+
+
+def test_passes_are_dealt_by_cells_not_by_shuffle_partitions(spark, monkeypatch):
+    df, _ = frame(spark)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        few = M.plan(df)
+        monkeypatch.setattr(M, "TASK_CELLS", 8)
+        many = M.plan(df)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert few.sources.rdd.getNumPartitions() == 1 < many.sources.rdd.getNumPartitions() < 40
+    f, g = ({r.source: r.f for r in p.sources.collect()} for p in (few, many))
+    assert f.keys() == g.keys() and all(np.isclose(f[k], g[k]) for k in f)
