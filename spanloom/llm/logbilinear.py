@@ -47,6 +47,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import crc_of, cut, ids_of, small_batches, texts_of
+from .decontaminate import PIECE as TEXT_PIECE
+from .decontaminate import _piece_words
 
 N_WORDS = 1536
 N_TAILS = 512
@@ -59,6 +61,10 @@ BATCH, NOISE, RATE = 2048, 48, 0.1
 END = b"\n"
 #: Words held by a worker's lookup before it starts afresh.
 MEMO = 200_000
+#: Bytes of texts that are scored at once.
+GROUP = 1 << 19
+#: ASCII letters folded, all white space one sign.
+_FOLD = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def word_hash(word: bytes) -> int:
@@ -71,8 +77,64 @@ def tail_class(word: bytes, n_tails: int = N_TAILS) -> int:
     return xxhash.xxh64_intdigest(word[-4:], 7) % n_tails
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]
+def keys_of(words: list[bytes]) -> np.ndarray:
+    """A second 64-bit hash of each word, one that numpy works out for a whole text at once (``Classer``)."""
+    return _piece_words(b" ".join(words))[0].view(np.int64)
+
+
+class Classer:
+    """Whole texts -> places of their tokens among known words, and model classes, without a step in Python for each word."""
+
+    def __init__(self, keys: np.ndarray, cls: np.ndarray, n_words: int):
+        self.order = np.argsort(keys).astype(np.int32)
+        self.keys, self.cls = keys[self.order], cls[self.order].astype(np.uint16)
+        self.n_words, self.tails = n_words, {}
+
+    def tail_classes(self, a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """``tail_class`` of words by their bounds in ``a``; a space stands for bytes that a word does not have."""
+        packed = np.zeros(len(ends), np.uint32)
+        for k in range(4, 0, -1):
+            at = ends - k
+            packed = packed << np.uint32(8) | np.where(at >= starts, a[np.maximum(at, 0)], 32).astype(np.uint32)
+        some, inverse = np.unique(packed, return_inverse=True)
+        for x in some.tolist():
+            if x not in self.tails:
+                self.tails[x] = tail_class(x.to_bytes(4, "big").lstrip(b" "))
+        out = np.fromiter(map(self.tails.__getitem__, some.tolist()), np.uint16, len(some))[inverse]
+        if len(self.tails) > MEMO:
+            self.tails.clear()
+        return out
+
+    def texts(self, texts: list[bytes], rare: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(class, place or -1) of the texts' tokens, one text after the other, each with its end mark; words without a place go to ``rare``."""
+        b = b"".join([t.translate(_FOLD) + b" \n " for t in texts])
+        out, places, at = [np.zeros(0, np.uint16)], [np.zeros(0, np.int32)], 0
+        while at < len(b):
+            end = len(b) if len(b) - at <= TEXT_PIECE else b.rfind(b" ", at + 1, at + TEXT_PIECE)
+            if end < 0:  # one word fills the piece; the last sign is a space
+                end = b.find(b" ", at + TEXT_PIECE)
+            piece = b[at:end]
+            at = end
+            h, starts, ends = _piece_words(piece)
+            h = h.view(np.int64)
+            near = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            cls, place = self.cls[near], self.order[near]
+            far = np.flatnonzero(self.keys[near] != h)
+            cls[far] = self.n_words + self.tail_classes(np.frombuffer(piece, np.uint8), starts[far], ends[far])
+            place[far] = -1
+            if rare is not None:
+                rare.extend([piece[x:y] for x, y in zip(starts[far].tolist(), ends[far].tolist())])
+            out.append(cls)
+            places.append(place)
+        return np.concatenate(out), np.concatenate(places)
+
+
+def triples(cls: np.ndarray, end: int) -> np.ndarray:
+    """(class two before, one before, own class) of every token of texts that follow each other."""
+    out = np.full((3, len(cls)), end, np.uint16)
+    out[2], out[1, 1:], out[0, 2:] = cls, cls[:-1], cls[:-2]
+    out[0, out[1] == end] = end
+    return out
 
 
 def train_rows(ids: list) -> np.ndarray:
@@ -80,7 +142,7 @@ def train_rows(ids: list) -> np.ndarray:
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """(h, tail, c): every training token's hash, tail class and count."""
+    """(h, key, tail, c): every training token's hash, ``keys_of`` hash, tail class and count."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +150,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             words = list(held)
-            return pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in words], pa.int64()), pa.array([tail_class(w) for w in words], pa.int32()), pa.array(list(held.values()), pa.int64())], ["h", "tail", "c"])
+            return pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in words], pa.int64()), pa.array(keys_of(words)), pa.array([tail_class(w) for w in words], pa.int32()), pa.array(list(held.values()), pa.int64())], ["h", "key", "tail", "c"])
 
         for b in batches:
             for t, use in zip(texts_of(b), train_rows(ids_of(b))):
@@ -101,51 +163,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h long, tail int, c long").groupBy("h").agg(F.min("tail").alias("tail"), F.sum("c").alias("c"))
-
-
-class Lookup(dict):
-    """word -> code: position among the frequent hashes, or ``n`` + a position in ``rare``."""
-
-    def __init__(self, hashes: np.ndarray):
-        super().__init__()
-        self.place = dict(zip(hashes.tolist(), range(len(hashes))))
-        self.n, self.rare, self.tails = len(hashes), [], []
-
-    def __missing__(self, word: bytes) -> int:
-        h = word_hash(word)
-        code = self.place.get(h)
-        if code is None:
-            code = self.n + len(self.rare)
-            self.rare.append(h)
-            self.tails.append(tail_class(word))
-        self[word] = code
-        return code
-
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-    def fresh(self) -> None:
-        if len(self) > MEMO:
-            self.clear()
-            self.rare.clear()
-            self.tails.clear()
-
-
-def classes(codes: np.ndarray, look: Lookup, frequent_class: np.ndarray, n_words: int) -> np.ndarray:
-    """Model class of every code."""
-    out = np.empty(len(codes), np.int64)
-    near = codes < look.n
-    out[near] = frequent_class[codes[near]]
-    if not near.all():
-        out[~near] = n_words + np.array([look.tails[c - look.n] for c in codes[~near].tolist()], np.int64)
-    return out
-
-
-def contexts(cls: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classes two before and one before every token; the end mark stands before the first."""
-    padded = np.concatenate([[end, end], cls])
-    return padded[:-2], padded[1:-1]
+    return docs.select("doc_id", "text").mapInArrow(run, "h long, key long, tail int, c long").groupBy("h").agg(F.min("key").alias("key"), F.min("tail").alias("tail"), F.sum("c").alias("c"))
 
 
 class Trainer:
@@ -165,36 +183,65 @@ class Trainer:
         self.rng = np.random.default_rng(seed)
         self.log_noise = np.log(self.unigram * NOISE).astype(np.float32)
         self.cum = np.cumsum(self.unigram)
+        self.held = {}
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array that later steps use again, so that a step asks the system for no memory."""
+        got = self.held.get((name, *shape))
+        if got is None:
+            got = self.held[name, *shape] = np.empty(shape, self.p["Q"].dtype)
+        return got
 
     def step(self, k: str, rows: np.ndarray | None, grad: np.ndarray) -> None:
         p, g2 = self.p[k], self.g2[k]
-        if rows is None:
-            g2 += grad**2
-            p -= RATE * grad / np.sqrt(g2)
-            return
-        width = p.shape[1]
-        summed = np.zeros(p.size, p.dtype)
-        np.add.at(summed, ((rows * width)[:, None] + np.arange(width)).ravel(), grad.ravel())
-        summed = summed.reshape(p.shape)
-        g2 += summed * summed
-        p -= RATE * summed / np.sqrt(g2)
+        if rows is not None:
+            width = p.shape[1]
+            summed = self.room(f"sum {k}", p.size)
+            summed.fill(0)
+            at = self.held.setdefault(("at", *grad.shape), np.empty(grad.shape, np.int64))
+            np.add((rows * width)[:, None], np.arange(width), out=at)
+            np.add.at(summed, at.ravel(), grad.ravel())
+            grad = summed.reshape(p.shape)
+        x = self.room(f"step {k}", *p.shape)
+        g2 += np.multiply(grad, grad, out=x)
+        np.sqrt(g2, out=x)
+        np.divide(grad, x, out=x)
+        x *= np.float32(RATE)
+        p -= x
 
     def learn(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
         """One step on tokens of classes w after u and v."""
-        p, m = self.p, len(w)
+        p, m, d = self.p, len(w), self.p["C1"].shape[0]
+        u, v, w = (x.astype(np.int64) for x in (u, v, w))
         z = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), len(self.cum) - 1)
-        # the biases are the targets' last column
-        ru, rv, qw, qz = (p[k].take(at, axis=0) for k, at in (("R", u), ("R", v), ("Q", w), ("Q", z)))
-        h = np.ones((m, qw.shape[1]), qw.dtype)
-        h[:, :-1] = rv @ p["C1"] + ru @ p["C2"]
-        s_pos = (h * qw).sum(axis=1) - self.log_noise[w]
-        s_neg = h @ qz.T - self.log_noise[z]
+        # the biases are the targets' last column; both contexts lie in one array, the nearer first
+        vu, wz = np.concatenate([v, u]), np.concatenate([w, z])
+        r = p["R"].take(vu, axis=0, out=self.room("r", 2 * m, d), mode="clip")
+        q = p["Q"].take(wz, axis=0, out=self.room("q", m + NOISE, d + 1), mode="clip")
+        rv, ru, qw, qz = r[:m], r[m:], q[:m], q[m:]
+        h, mid = self.room("h", m, d + 1), self.room("mid", m, d)
+        h[:, d] = 1
+        np.add(np.matmul(rv, p["C1"], out=mid), ru @ p["C2"], out=h[:, :d])
+        s_pos = np.einsum("ij,ij->i", h, qw) - self.log_noise[w]
         d_pos = (-1 / m) / (1 + np.exp(np.minimum(s_pos, 30)))
-        d_neg = (1 / m) / (1 + np.exp(np.minimum(-s_neg, 30)))
-        dh = (d_pos[:, None] * qw + d_neg @ qz)[:, :-1]
-        r1, r2, d1, d2 = dh @ p["C1"].T, dh @ p["C2"].T, rv.T @ dh, ru.T @ dh
-        self.step("Q", np.concatenate([w, z]), np.concatenate([d_pos[:, None] * h, d_neg.T @ h]))
-        self.step("R", np.concatenate([v, u]), np.concatenate([r1, r2]))
+        # gradients of the noise, 1 / (1 + exp(-s)) / m
+        d_neg = np.matmul(h, qz.T, out=self.room("neg", m, NOISE))
+        d_neg -= self.log_noise[z]
+        np.negative(d_neg, out=d_neg)
+        np.minimum(d_neg, 30, out=d_neg)
+        np.exp(d_neg, out=d_neg)
+        d_neg += 1
+        np.divide(d_neg.dtype.type(1 / m), d_neg, out=d_neg)
+        dh = np.matmul(d_neg, qz[:, :d], out=self.room("dh", m, d))
+        dh += np.multiply(d_pos[:, None], qw[:, :d], out=mid)
+        to_r, to_q = self.room("to r", 2 * m, d), self.room("to q", m + NOISE, d + 1)
+        np.matmul(dh, p["C1"].T, out=to_r[:m])
+        np.matmul(dh, p["C2"].T, out=to_r[m:])
+        np.multiply(d_pos[:, None], h, out=to_q[:m])
+        np.matmul(d_neg.T, h, out=to_q[m:])
+        d1, d2 = rv.T @ dh, ru.T @ dh
+        self.step("Q", wz, to_q)
+        self.step("R", vu, to_r)
         self.step("C1", None, d1)
         self.step("C2", None, d2)
 
@@ -231,11 +278,10 @@ def averaged(pieces: DataFrame) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, np.float32) for _, x in sorted(zip(got["piece"], got["x"]))]) if got["x"] else np.zeros(0, np.float32)
 
 
-def train(docs: DataFrame, hashes: np.ndarray, frequent_class: np.ndarray, n_words: int, end: int, unigram: np.ndarray, n: int) -> dict[str, np.ndarray]:
-    """Parameters learnt from all training tokens; see the module."""
+def train(docs: DataFrame, keys: np.ndarray, end: int, unigram: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """Parameters learnt from all training tokens; see the module. ``keys`` are those of the words with a class of their own."""
     spark = docs.sparkSession
     model = Trainer(unigram)
-    words = spark.sparkContext.broadcast((hashes, frequent_class))
     rest = F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)), F.lit(5))
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(16))
     epochs = max(1, min(MOST_EPOCHS, -(-LEAST_TOKENS // max(n, 1)))) if n else 0
@@ -243,16 +289,12 @@ def train(docs: DataFrame, hashes: np.ndarray, frequent_class: np.ndarray, n_wor
         held = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], held=held, turn=turn) -> Iterator[pa.RecordBatch]:
-            hashes, frequent_class = words.value
-            look, mine, n, left = Lookup(hashes), copy.deepcopy(held.value), 0, []
+            look, mine, n, left = Classer(keys, np.arange(len(keys)), len(keys)), copy.deepcopy(held.value), 0, []
             for b in batches:
                 if not n:
                     mine.start(int(crc_of(ids_of(b))[0]) + turn if b.num_rows else turn)
-                for t in texts_of(b):
-                    cls = classes(look.codes(tokens(t)), look, frequent_class, n_words)
-                    left.append(np.stack([*contexts(cls, end), cls]))
-                    look.fresh()
-                every = np.concatenate(left, axis=1) if left else np.zeros((3, 0), np.int64)
+                left.append(triples(look.texts(texts_of(b))[0], end))
+                every = np.concatenate(left, axis=1)
                 # tokens of one text are dealt over the steps
                 every = every[:, mine.rng.permutation(every.shape[1])]
                 full = every.shape[1] // BATCH * BATCH
@@ -307,13 +349,13 @@ def fit(docs: DataFrame) -> tuple[DataFrame, dict]:
     n, v = int(whole.n or 0), int(whole.v)
     end_hash = word_hash(END)
     # the end mark's count, whatever band of counts it falls into
-    ends = counts.where(F.col("h") == F.lit(end_hash)).select("h", "tail", "c").toArrow()
-    top = most_frequent(counts, N_FREQUENT).where(F.col("h") != F.lit(end_hash)).select("h", "tail", "c").toArrow()
-    h, tails, c = (np.concatenate([x.column(k).to_numpy() for x in (top, ends)]) for k in range(3))
+    ends = counts.where(F.col("h") == F.lit(end_hash)).select("h", "tail", "c", "key").toArrow()
+    top = most_frequent(counts, N_FREQUENT).where(F.col("h") != F.lit(end_hash)).select("h", "tail", "c", "key").toArrow()
+    h, tails, c, keys = (np.concatenate([x.column(k).to_numpy() for x in (top, ends)]) for k in range(4))
     if not len(ends):  # no training document
-        h, tails, c = np.append(h, end_hash), np.append(tails, 0), np.append(c, 0)
+        h, tails, c, keys = np.append(h, end_hash), np.append(tails, 0), np.append(c, 0), np.append(keys, keys_of([END]))
     order = np.argsort(h)
-    hashes, tails, c = h[order].astype(np.int64), tails[order].astype(np.int64), c[order].astype(np.float64)
+    hashes, tails, c, keys = h[order].astype(np.int64), tails[order].astype(np.int64), c[order].astype(np.float64), keys[order].astype(np.int64)
     words = hashes[np.lexsort((hashes, -c))[:N_WORDS]]
     if end_hash not in words:
         words = np.append(words[: N_WORDS - 1], end_hash)
@@ -331,21 +373,39 @@ def fit(docs: DataFrame) -> tuple[DataFrame, dict]:
     unigram = np.concatenate([word_mass, mass])
     unigram /= unigram.sum()
     end = int(np.nonzero(words == end_hash)[0][0])
-    model = normalised(train(docs, hashes, frequent_class, len(words), end, unigram, n)) | {"hashes": hashes, "cls": frequent_class, "base": base, "seen": c > 0, "log_mass": np.log10(mass / denominator), "n_words": len(words), "end": end, "n": n, "denominator": denominator, "size": size}
+    model = normalised(train(docs, keys[np.searchsorted(hashes, words)], end, unigram, n)) | {"keys": keys, "cls": frequent_class, "base": base, "seen": c > 0, "log_mass": np.log10(mass / denominator), "n_words": len(words), "end": end, "n": n, "denominator": denominator, "size": size}
     return counts, model
 
 
-def score_codes(codes: np.ndarray, look: Lookup, m: dict) -> tuple[float, float, int]:
-    """(base, model, known) of the tokens but for the base log-probabilities of rare words."""
-    near = codes < look.n
-    base = m["base"][codes[near]]
-    cls = classes(codes, look, m["cls"], m["n_words"])
-    u, v = contexts(cls, m["end"])
-    logp = (m["g1"][v, cls] + m["g2"][u, cls] - m["log_z"][u, v]).astype(np.float64).sum() / math.log(10)
-    tail = cls >= m["n_words"]
-    logp -= m["log_mass"][cls[tail] - m["n_words"]].sum()
-    logp += m["base"][codes[near & tail]].sum()
-    return float(base.sum()), float(logp), int(m["seen"][codes[near]].sum())
+def score_texts(texts: list[bytes], look: Classer, m: dict) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """(n_tokens, known, base, model) of every text but for the base log-probabilities of rare words, and (text, hash, times) of these."""
+    rare: list[bytes] = []
+    cls, place = look.texts(texts, rare)
+    u, v, w = triples(cls, m["end"]).astype(np.int64)
+    ends = np.flatnonzero(w == m["end"])
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    near, tail = place >= 0, w >= m["n_words"]
+    base, known = np.zeros(len(w)), np.zeros(len(w), np.int64)
+    base[near], known[near] = m["base"][place[near]], m["seen"][place[near]]
+    logp = (m["g1"][v, w] + m["g2"][u, w] - m["log_z"][u, v]).astype(np.float64) / math.log(10)
+    logp[tail] += base[tail] - m["log_mass"][w[tail] - m["n_words"]]
+    sums = [np.add.reduceat(x, starts) for x in (known, base, logp)]
+    h = np.fromiter(map(word_hash, rare), np.int64, len(rare))
+    text = np.searchsorted(ends, np.flatnonzero(~near))
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])) if len(h) else np.zeros(0, np.int64)
+    return (ends - starts + 1, *sums), (text[first], h[first], np.diff(np.append(first, len(h))))
+
+
+def groups(texts: list[bytes]) -> Iterator[slice]:
+    """Runs of texts of about ``GROUP`` bytes, a longer text alone."""
+    low, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= GROUP or k == len(texts) - 1:
+            yield slice(low, k + 1)
+            low, size = k + 1, 0
 
 
 STAT = "struct<doc_id: bigint, held_out: boolean, n_tokens: bigint, n_known: bigint, base: double, score: double>"
@@ -359,26 +419,18 @@ def score(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        look = Lookup(m["hashes"])
+        look = Classer(m["keys"], m["cls"], m["n_words"])
         kind = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
         for b in batches:
-            ids, texts = ids_of(b), texts_of(b)
-            hs, rids, tfs, stats = [], [], [], []
-            for i, t, use in zip(ids, texts, train_rows(ids)):
-                codes = look.codes(tokens(t))
-                base, logp, known = score_codes(codes, look, m)
-                rid = word_hash(b"%d:" % i + t if i is not None else b":" + t)
+            every, texts = ids_of(b), texts_of(b)
+            for some in groups(texts):
+                ids = every[some]
+                figures, (at, h, tf) = score_texts(texts[some], look, m)
+                rids = np.array([word_hash(b"%d:" % i + t if i is not None else b":" + t) for i, t in zip(ids, texts[some])], np.int64)
+                stats = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(~train_rows(ids)), *map(pa.array, figures)], fields=list(kind))
                 # the row's own figures travel under a hash of their own
-                hs.append(np.array([rid], np.int64))
-                tfs.append(np.array([0], np.int32))
-                rare, tf = np.unique(codes[codes >= look.n], return_counts=True)
-                hs.append(np.array([look.rare[c - look.n] for c in rare.tolist()], np.int64))
-                tfs.append(tf.astype(np.int32))
-                rids.append(np.full(1 + len(rare), rid, np.int64))
-                stats.append({"doc_id": i, "held_out": not use, "n_tokens": len(codes), "n_known": known, "base": base, "score": logp})
-                stats.extend([None] * len(rare))
-                look.fresh()
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(rids)), pa.array(np.concatenate(tfs)), pa.array(stats, kind)], ["h", "rid", "tf", "stat"])
+                cols = [pa.array(np.concatenate([rids, h])), pa.array(np.concatenate([rids, rids[at]])), pa.array(np.concatenate([np.zeros(len(ids)), tf]).astype(np.int32)), pa.concat_arrays([stats, pa.nulls(len(h), kind)])]
+                yield pa.RecordBatch.from_arrays(cols, ["h", "rid", "tf", "stat"])
 
     schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("rid", T.LongType()), T.StructField("tf", T.IntegerType()), T.StructField("stat", stat_type)])
     rows = docs.select("doc_id", "text").mapInArrow(run, schema)

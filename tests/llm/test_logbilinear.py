@@ -113,3 +113,22 @@ def test_repeated_rows_and_empty(spark):
     got = sorted((r.doc_id or 0, r.n_tokens) for r in L.score(df).collect())
     assert got == [(0, 2), (1, 2), (1, 4), (1, 4)]
     assert L.score(df.limit(0)).count() == 0
+
+
+def test_classes_of_whole_texts_are_those_of_their_words():
+    """Pieces, white space, white-space-like bytes and very long words, against a step for each word."""
+    texts = [b"", b" A\tb\x0bC\r\n\x00x \x1cy \xc3\x89t\xc3\xa9\xc2\xa0z  " + b"q" * 300_000 + b" " + b"z" * 600_000, b"\x00abc abc a ab Abcd xAbcd", b"a b c " * 60_000, b"end"]
+    named = [L.END, b"abc", b"a", b"q" * 300_000]
+    look = L.Classer(L.keys_of(named), np.arange(4), 4)
+    rare: list = []
+    cls, place = look.texts(texts, rare)
+    words = [w for t in texts for w in [*t.lower().split(), L.END]]
+    assert cls.tolist() == [named.index(w) if w in named else 4 + L.tail_class(w) for w in words]
+    assert place.tolist() == [named.index(w) if w in named else -1 for w in words]
+    assert rare == [w for w in words if w not in named]
+    u, v, w = L.triples(cls, 0)
+    want = []
+    for t in texts:
+        own = [named.index(x) if x in named else 4 + L.tail_class(x) for x in [*t.lower().split(), L.END]]
+        want += zip([0, 0, *own], [0, *own], own)
+    assert list(zip(u.tolist(), v.tolist(), w.tolist())) == want
