@@ -154,7 +154,10 @@ def event_fragments(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {WORDS_SQL}, s AS (SELECT rec_id, word_id, st, en, CASE WHEN en - st <= 30000000 THEN 0 ELSE CAST(ceil((en - st - 30000000) / 28000000.0) AS BIGINT) END AS n FROM words WHERE st < en),
   c AS (SELECT *, unnest(range(0, n + 1)) AS chunk FROM s) SELECT rec_id, word_id, chunk, st + chunk * 28000000 AS c_st, least(en, st + chunk * 28000000 + 30000000) AS c_en FROM c""")
 def split_long_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of thirty seconds that overlap by two."""
+    """Chunks of thirty seconds that overlap by two; some 535 rows a word, so Parquet gets them as differences."""
+    from spanloom.sources.sinks import as_differences
+
+    as_differences(spark, "chunk", "c_st", "c_en")
     return I.split_long(words(spark, d).where("st < en"), 30_000_000, 2_000_000).select("rec_id", "word_id", "chunk", "c_st", "c_en")
 
 

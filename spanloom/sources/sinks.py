@@ -1,4 +1,4 @@
-"""Sinks: documents, verified waveforms, run ledgers and filter graphs."""
+"""Sinks: documents, compact places, verified waveforms, run ledgers and filter graphs."""
 
 from __future__ import annotations
 
@@ -11,6 +11,18 @@ def write_documents(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").json(path)
 
 
+def as_differences(spark: SparkSession, *columns: str) -> None:
+    """Parquet holds these columns of whole numbers as differences between neighbours, without a dictionary.
+
+    Long runs of evenly spaced places then take next to no room; rows and types are the same.
+    The settings stay for the session: a plan reads them when it is written. What the caller has set stays.
+    """
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for key, value in (("parquet.writer.version", "v2"), *((f"parquet.enable.dictionary#{c}", "false") for c in columns)):
+        if spark.conf.get(key, None) is None and hadoop.get(key) is None:
+            spark.conf.set(key, value)
+
+
 def content_hash(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """(keys, digest) of an array column, by its exact bits."""
     bits = F.transform(column, lambda x: x.cast("string"))
